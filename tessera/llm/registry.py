@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import quality, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op5_quality_rules": quality.op5_quality_rules,
     }
 
