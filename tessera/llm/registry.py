@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import quality, toxicity
+from . import quality, secrets, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
+        "op2_url_filter": url_filter.op2_url_filter,
+        "op4_secrets": secrets.op4_secrets,
         "op5_quality_rules": quality.op5_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_url_filter": url_filter.ORACLE,
+    }
