@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality, secrets, toxicity, url_filter
+from . import packing, quality, secrets, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_url_filter": url_filter.op2_url_filter,
         "op4_secrets": secrets.op4_secrets,
         "op5_quality_rules": quality.op5_quality_rules,
+        "op8_packing": packing.op8_packing,
     }
 
 
