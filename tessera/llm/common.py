@@ -108,3 +108,17 @@ def keep_rows(df: DataFrame, chosen: Callable[[list[str | None]], object], *, so
             yield batch.filter(pa.array(chosen(batch.column(source).to_pylist()), type=pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
+
+
+#: Everything in ASCII that is no digit or lower-case letter; it parts the words of ``ascii_words``.
+WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def ascii_words(text):
+    """Column: the words of a text after lower-casing A-Z; null has none."""
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), WORD_GAP), "")
+
+
+def row_key(*columns):
+    """Column: a 64-bit key of a row; with the id it tells rows apart, equal rows share it."""
+    return F.xxhash64(*[F.coalesce(c.cast("string"), F.lit("\0")) for c in columns])

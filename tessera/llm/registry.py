@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, quality, secrets, toxicity, url_filter
+from . import decontaminate, licenses, packing, quality, secrets, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op2_url_filter": url_filter.op2_url_filter,
         "op4_secrets": secrets.op4_secrets,
         "op5_quality_rules": quality.op5_quality_rules,
+        "op6_decontamination": decontaminate.op6_decontamination,
+        "op7_licenses": licenses.op7_licenses,
         "op8_packing": packing.op8_packing,
     }
 
@@ -18,4 +20,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_url_filter": url_filter.ORACLE,
+        "op6_decontamination": decontaminate.ORACLE,
     }
