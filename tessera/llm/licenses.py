@@ -29,6 +29,8 @@ GRAM = 3
 NEIGHBOUR = 6
 #: Least share of a template's k-grams in a verified span.
 COVERAGE = 0.6
+#: Templates of fewer k-grams must be held whole.
+SHORT = 16
 # Phrases and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 # Well-known license notices and their labels.
@@ -87,7 +89,7 @@ def scan(docs: DataFrame, *, phrases: dict[str, str] = PHRASES, templates: dict[
     cluster = F.sum(new).over(Window.partitionBy(*by).orderBy("diagonal").rowsBetween(Window.unboundedPreceding, 0))
     spans = lines.withColumn("cluster", cluster).groupBy(*by, "cluster").agg(F.min("diagonal").alias("start"), (F.size(F.array_distinct(F.flatten(F.collect_list("held")))) / F.col("grams")).alias("share"))
     place = F.col("phrase") & (F.col("share") == 1)
-    named = place | (~F.col("phrase") & (F.col("share") >= COVERAGE))
+    named = place | (~F.col("phrase") & (F.col("share") >= F.when(F.col("grams") < SHORT, 1.0).otherwise(COVERAGE)))
     per = spans.groupBy("doc_id", "key").agg(
         F.count_if(place).alias("n_base"), F.min(F.when(place, F.col("start"))).cast("long").alias("first_word"), F.max(F.when(place, F.col("start"))).cast("long").alias("last_word"),
         F.array_join(F.array_sort(F.collect_set(F.when(place, F.col("label")))), ",").alias("base_labels"),
