@@ -58,20 +58,14 @@ def materialize(df: DataFrame, name: str, fmt: str = "parquet") -> DataFrame:
     """Cut lineage: write df to the shared folder and read it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
-    df.write.format(fmt).save(path)
+    df.write.format(fmt).option("compression", "zstd").save(path)
     return spark.read.schema(df.schema).format(fmt).load(path)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of df's sources (no job runs)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
-
-
 def source_bytes(df: DataFrame) -> int:
-    """Bytes on disk of the files below df, else Catalyst's estimate."""
+    """Catalyst's size estimate of the files below df (no job runs)."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    total = sum(int(leaves.apply(i).stats().sizeInBytes().longValue()) for i in range(leaves.size()))
-    return total or input_bytes(df)
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def pieces(total_bytes: int, each: int = CHUNK_BYTES, least: int = 4) -> int:

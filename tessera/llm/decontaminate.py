@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, WORD_GAP, ascii_words, pick, row_key, table
+from .common import LOWER, UPPER, WORD_GAP, ascii_words, materialize, pick, row_key, table
 
 WINDOW = 10
 #: Words in a shingle; windows of fewer words are their own shingle.
@@ -125,7 +125,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     hits = occurrences(words, prefix_tokens(benchmark_windows(table(spark, sf_dir, "benchmark"))))
     if hits is None:
         return docs
-    bad = hits.select(F.col("key").alias("_key")).distinct()
+    bad = materialize(hits.select(F.col("key").alias("_key")).distinct(), "contaminated")
+    if bad.count() <= BROADCAST_ROWS:
+        bad = F.broadcast(bad)
     return own.join(bad, "_key", "left_anti").select(*docs.columns)
 
 

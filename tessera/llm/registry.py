@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, lm, packing, quality, secrets, toxicity, url_filter
+from . import decontaminate, jaccard, licenses, lm, packing, quality, secrets, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_decontamination": decontaminate.op6_decontamination,
         "op7_licenses": licenses.op7_licenses,
         "op8_packing": packing.op8_packing,
+        "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
         "op10_lm_scores": lm.op10_lm_scores,
     }
 

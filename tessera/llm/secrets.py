@@ -23,8 +23,9 @@ import re
 from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import add_columns, keep_rows, pick, table
+from .common import add_columns, pick, table
 
 KINDS = ("assign", "access", "hex", "literal")
 # The base patterns and their least lengths.
@@ -136,5 +137,12 @@ def redact(text: str | None, mask: str = "[SECRET]") -> str | None:
     return "".join([*out, text[at:]])
 
 
+def redaction_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every span is masked in ``text``, and ``n_chars`` follows; no document goes."""
+    masked = add_columns(docs.withColumn("_text", F.col("text")), lambda texts: {"_new": [redact(t) for t in texts]}, "_new string", source="_text")
+    fresh = {"text": F.col("_new"), "n_chars": F.when(F.col("_new").isNotNull(), F.char_length("_new").cast("long"))}
+    return masked.select(*[fresh[c].alias(c) if c in fresh else F.col(c) for c in docs.columns])
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
