@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, licenses, lm, packing, quality, secrets, toxicity, url_filter
+from . import decontaminate, jaccard, licenses, lm, packing, quality, secrets, substring, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_url_filter": url_filter.op2_url_filter,
+        "op3_substring_dedup": substring.op3_substring_dedup,
         "op4_secrets": secrets.op4_secrets,
         "op5_quality_rules": quality.op5_quality_rules,
         "op6_decontamination": decontaminate.op6_decontamination,
