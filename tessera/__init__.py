@@ -1,0 +1 @@
+"""Analytics over software-structure facts, as Spark DataFrames."""
