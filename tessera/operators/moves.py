@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .diff import jaccard
 
@@ -15,7 +16,7 @@ SURFACE_OVERLAP = 0.8
 HOW = ("same content", "same public names", "the same file name and most of the same public names")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def alike(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of two names by matching blocks, 0 to 1 (edit distance would rank differently)."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])

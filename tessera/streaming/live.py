@@ -12,7 +12,8 @@ from pyspark.sql.window import Window
 def debounce(changes: DataFrame, quiet_seconds: int, by: str) -> DataFrame:
     """Batch form: one row for each burst of changes (by, ts) whose gaps are below the quiet period."""
     w = Window.partitionBy(by).orderBy("ts")
-    gap = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    gap = micros - F.lag(micros).over(w)
     burst = F.sum(F.when(gap.isNull() | (gap >= quiet_seconds * 1_000_000), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return changes.withColumn("burst", burst).groupBy(by, "burst").agg(F.count("*").alias("changes"), F.min("ts").alias("first"), F.max("ts").alias("last")).drop("burst")
 
