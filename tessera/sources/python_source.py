@@ -21,7 +21,10 @@ RECORD = (
 
 
 def files(spark: SparkSession, root: str, glob: str = "*.py") -> DataFrame:
-    """(path, content, problem) of every source file below root; files that are too large are refused with a cause, not dropped."""
+    """(path, content, problem) of every source file below root; files that are too large are refused with a cause, not dropped.
+
+    Spark's file reader lists no files of zero bytes, so empty package markers have no row.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     base = root.rstrip("/")
     relative = F.regexp_replace("path", f"^.*?{base.removeprefix('file:')}/", "")
