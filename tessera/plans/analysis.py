@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..bindings import Tables
 from ..operators import claims as cl
-from ..operators import diff, edges, graph, history, layout, metrics, moves
+from ..operators import diff, graph, history, layout, metrics, moves
 from .registry import query
 
 # --- graphs --------------------------------------------------------------------
