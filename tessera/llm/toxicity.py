@@ -17,6 +17,7 @@ rows each give a row; extra columns of the inputs are ignored.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -170,8 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = 8000, lexicon_siz
 
 
 def hash_fold(text: str) -> int:
-    import zlib
-
+    """Half of the sample that a text belongs to; copies of a text share it."""
     return zlib.crc32(text.encode("utf-8", "surrogatepass")) & 1
 
 
