@@ -60,7 +60,7 @@ class EliasFano:
     def __init__(self, values: np.ndarray, universe: int):
         values = np.asarray(values, _U)
         self.n = n = len(values)
-        self.width = max(0, (universe // n).bit_length() - 1) if n else 0
+        self.width = max(0, (universe // n).bit_length() - 1) if n else 63
         high = (values >> _U(self.width)).astype(np.int64)
         self.low = mapped(_pack(values & _U((1 << self.width) - 1), self.width))
         self.buckets = (universe >> self.width) + 1

@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from .common import UPPER, materialize, pick, pieces, source_bytes, table
 from .elias_fano import EliasFano, mapped
 
-CHUNK_TOKENS = 1_000_000
+CHUNK_TOKENS = 500_000
 SHARD_BYTES = 8 << 20
 #: A context is hot if it holds more than 1 / (HOT * shards) of all tokens.
 HOT = 4
@@ -111,6 +111,18 @@ class Trie:
         return value, weight
 
 
+def squeeze(array: np.ndarray) -> bytes:
+    """The array's bytes by significance, compressed: small numbers and sorted ones shrink."""
+    planes = np.ascontiguousarray(array).view("u1").reshape(len(array), -1).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def expand(data: bytes, kind: str) -> np.ndarray:
+    size, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    planes = pa.decompress(data[8:], size, codec="zstd", asbytes=True) if size else b""
+    return np.ascontiguousarray(np.frombuffer(planes, "u1").reshape(width, -1).T).view(kind).ravel() if size else np.zeros(0, kind)
+
+
 # --- chunks -----------------------------------------------------------------
 
 CODED = "chunk long, rows long, ids binary, id_null binary, held binary, lengths binary, tokens binary, vocabulary binary"
@@ -128,7 +140,7 @@ class Chunk:
     @staticmethod
     def read(row) -> Chunk:
         of = lambda name, kind: np.frombuffer(row[name], kind)
-        return Chunk(of("lengths", "<i4"), of("held", "u1").astype(bool), of("tokens", "<i4"), of("vocabulary", "<u8"))
+        return Chunk(of("lengths", "<i4"), of("held", "u1").astype(bool), expand(row["tokens"], "<i4"), expand(row["vocabulary"], "<u8"))
 
     def trained(self) -> np.ndarray:
         """Per token: does it come from a training text?"""
@@ -165,7 +177,7 @@ def code(docs: DataFrame, chunk_tokens: int) -> DataFrame:
             vocabulary = np.fromiter((xxhash.xxh3_64_intdigest(w) if w else int(END) for w in words), "<u8", len(words))
             out = {
                 "chunk": (TaskContext.get().partitionId() << 32) + made, "rows": len(ids), "ids": np.array([i or 0 for i in ids], "<i8").tobytes(), "id_null": np.array([i is None for i in ids], "u1").tobytes(),
-                "held": np.array(held, "u1").tobytes(), "lengths": np.array(lengths, "<i4").tobytes(), "tokens": np.array(tokens, "<i4").tobytes(), "vocabulary": vocabulary.tobytes(),
+                "held": np.array(held, "u1").tobytes(), "lengths": np.array(lengths, "<i4").tobytes(), "tokens": squeeze(np.array(tokens, "<i4")), "vocabulary": squeeze(vocabulary),
             }
             made += 1
             for x in (ids, held, lengths, tokens, known):
@@ -245,7 +257,7 @@ def word_packets(shards: int):
                 chunk = Chunk.read(row)
                 counts = chunk.unigrams()
                 for shard, at in deal_out(chunk.vocabulary, mix(chunk.vocabulary), shards):
-                    yield pd.DataFrame([(1, shard, row["chunk"], chunk.vocabulary[at].tobytes(), _narrow(counts[at]))], columns=["level", "shard", "chunk", "keys", "counts"])
+                    yield pd.DataFrame([(1, shard, row["chunk"], squeeze(chunk.vocabulary[at]), _narrow(counts[at]))], columns=["level", "shard", "chunk", "keys", "counts"])
 
     return run
 
@@ -258,14 +270,14 @@ def ngram_packets(order: int, shards: int, hot: np.ndarray):
                 for level in range(2, order + 1):
                     keys, counts, deal, _ = ngrams(chunk, level, hot)
                     for shard, at in deal_out(keys, deal, shards):
-                        yield pd.DataFrame([(level, shard, row["chunk"], keys[at].tobytes(), _narrow(counts[at]))], columns=["level", "shard", "chunk", "keys", "counts"])
+                        yield pd.DataFrame([(level, shard, row["chunk"], squeeze(keys[at]), _narrow(counts[at]))], columns=["level", "shard", "chunk", "keys", "counts"])
 
     return run
 
 
 def _summed(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys of all packets of a shard that have training counts, and their sums."""
-    keys = np.concatenate([np.frombuffer(k, "<u8") for k in frame["keys"]])
+    keys = np.concatenate([expand(k, "<u8") for k in frame["keys"]])
     counts = np.concatenate([_wide(c) for c in frame["counts"]])
     keys, counts = keys[counts > 0], counts[counts > 0]
     order = np.argsort(keys, kind="stable")
@@ -281,7 +293,7 @@ def word_shard(frame: pd.DataFrame) -> pd.DataFrame:
     keys, counts = _summed(frame)
     rows = []
     for _, r in frame.iterrows():
-        wanted = np.frombuffer(r["keys"], "<u8")
+        wanted = expand(r["keys"], "<u8")
         at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
         found = np.where(keys[at] == wanted, counts[at], 0) if len(keys) else np.zeros(len(wanted), np.int64)
         rows.append((1, r["shard"], r["chunk"], _narrow(found), None))
@@ -296,7 +308,7 @@ def ngram_shard(mu: float, hot: dict[int, int]):
         trie = Trie(*_summed(frame), mu, hot if level == 2 else {})
         rows = []
         for _, r in frame.iterrows():
-            value, weight = trie.probe(np.frombuffer(r["keys"], "<u8"))
+            value, weight = trie.probe(expand(r["keys"], "<u8"))
             rows.append((level, r["shard"], r["chunk"], value.tobytes(), weight.tobytes() if level > 2 else None))
         return pd.DataFrame(rows, columns=["level", "shard", "chunk", "value", "extra"])
 
@@ -339,7 +351,7 @@ def scorer(order: int, shards: int, mu: float, n: int, v: int, hot: np.ndarray):
                 p = dequantise(value)[number] + back * p
             score = np.add.reduceat(np.log10(p), starts)
             null = np.frombuffer(row["id_null"], "u1").astype(bool)
-            ids = pd.array(np.frombuffer(row["ids"], "<i8"), dtype="Int64")
+            ids = pd.array(np.frombuffer(row["ids"], "<i8").copy(), dtype="Int64")
             ids[null] = pd.NA
             out.append(pd.DataFrame({"doc_id": ids, "held_out": chunk.held, "n_tokens": chunk.lengths.astype(np.int64), "n_known": known, "train_tokens": n, "base_score": base, "score": score}))
         return pd.concat(out) if out else pd.DataFrame({c.split()[0]: [] for c in SCORED.split(", ")})
