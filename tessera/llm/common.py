@@ -57,6 +57,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str, fmt: str = "parquet") -> DataFrame:
     """Cut lineage: write df to the shared folder and read it again."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.format(fmt).option("compression", "zstd").save(path)
     return spark.read.schema(df.schema).format(fmt).load(path)
@@ -73,12 +74,24 @@ def pieces(total_bytes: int, each: int = CHUNK_BYTES, least: int = 4) -> int:
     return max(least, math.ceil(total_bytes / each))
 
 
+#: Rows of an Arrow batch: whole texts, so the default of 10,000 would hold tens of megabytes in each worker.
+BATCH_ROWS = "2000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of texts small, unless the session already does."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > int(BATCH_ROWS):
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def add_columns(df: DataFrame, compute: Callable[[list[str | None]], dict], fields: str, *, source: str = "text") -> DataFrame:
     """Replace the column ``source`` by columns computed from it, batch by batch.
 
     compute gets a batch's values and returns, for each field, a sequence of as
     many values. All other columns pass as they are (ids keep all their bits).
     """
+    small_batches(df.sparkSession)
     new = T.StructType.fromDDL(fields)
     kept = [f for f in df.schema.fields if f.name != source]
     schema = T.StructType(kept + new.fields)
@@ -96,6 +109,7 @@ def add_columns(df: DataFrame, compute: Callable[[list[str | None]], dict], fiel
 
 def keep_rows(df: DataFrame, chosen: Callable[[list[str | None]], object], *, source: str = "text") -> DataFrame:
     """The rows whose ``source`` value is chosen; columns and their order stay."""
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

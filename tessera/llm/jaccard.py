@@ -34,6 +34,7 @@ ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -54,6 +55,8 @@ PERCENT = 80
 BAND = 1.5
 #: A signature group of more members is frequent.
 FREQUENT = 32
+#: Members of a group that are compared in one task.
+BLOCK = 4096
 #: At most so many wanted sets are listed in a broadcast; beyond, the lists are shuffled.
 BROADCAST_ROWS = 1_000_000
 _U = np.uint64
@@ -92,8 +95,8 @@ def most_different(r: int, s: int, percent: int = PERCENT) -> int:
 
 
 def parity(own: np.ndarray) -> np.ndarray:
-    """Parity sketch: bit i tells whether an odd number of members hash to i; at least one bit a member."""
-    bits = max(64, 1 << int(len(own) - 1).bit_length()) if len(own) else 64
+    """Parity sketch: bit i tells whether an odd number of members hash to i; at least four bits a member."""
+    bits = max(64, 4 << int(len(own) - 1).bit_length()) if len(own) else 64
     spot = (mix(own + _U(0x51)) & _U(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(spot, minlength=bits) & 1).astype(bool), bitorder="little")
 
@@ -113,6 +116,7 @@ def band_of(n: int) -> int:
     return int(np.floor(np.log(n) / np.log(BAND) + 1e-9))
 
 
+@lru_cache(maxsize=None)
 def band_sizes(band: int) -> tuple[int, int]:
     """Smallest and largest size of the band."""
     lo = int(np.ceil(BAND**band - 1e-6))
@@ -173,7 +177,9 @@ def signatures(own: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int
             inner = np.flatnonzero((seg < t) & (count[seg] > 1))
             out.append(mix((total[seg[inner]] - hashed[inner]) ^ salt[seg[inner]]))
             worth += int((count[:t] > 1).sum())
-        spare = min(spare, worth - most_different(n, n * 100 // percent, percent) - 1)
+        # in its own band a set may be the smaller one; in a lower band the other is the smaller
+        other = n * 100 // percent if band == band_of(n) else min(n, band_sizes(band)[1])
+        spare = min(spare, worth - most_different(n, other, percent) - 1)
     if not out:
         return np.zeros(0, _U), spare
     return np.unique(np.concatenate(out)), spare
@@ -203,7 +209,7 @@ def metas(percent: int):
             for _, row in frame.iterrows():
                 sets = shingle_sets(Chunk.read(row))
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-                ids = pd.array(np.frombuffer(row["ids"], "<i8"), dtype="Int64")
+                ids = pd.array(np.frombuffer(row["ids"], "<i8").copy(), dtype="Int64")
                 ids[np.frombuffer(row["id_null"], "u1").astype(bool)] = pd.NA
                 d = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
                 yield pd.DataFrame({
@@ -231,9 +237,9 @@ def packets(shards: int, percent: int):
                         found = np.concatenate([found, mix(own ^ _U(0xA5A5A5A5A5A5A5A5))])
                     sigs.append(found)
                     rows.append(np.full(len(found), i, "<u4"))
-                if not sigs:
+                sig, at = np.concatenate([np.zeros(0, _U), *sigs]), np.concatenate([np.zeros(0, "<u4"), *rows])
+                if not len(sig):
                     continue
-                sig, at = np.concatenate(sigs), np.concatenate(rows)
                 shard = (sig % _U(shards)).astype(np.int64)
                 order = np.argsort(shard, kind="stable")
                 cut = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -246,7 +252,7 @@ def packets(shards: int, percent: int):
 
 
 def meet(frame: pd.DataFrame) -> pd.DataFrame:
-    """What meets in a shard: kind 1, each member with the smallest of its group; kind 2, whole groups of three or more."""
+    """What meets in a shard: kind 1, each member with the smallest of its group; kind 2, groups of three or more and how many signatures have them."""
     sig = np.concatenate([np.frombuffer(s, "<u8") for s in frame["signatures"]])
     uid = np.concatenate([uid_base(int(c)) + np.frombuffer(r, f"<u{r[:1].decode()}", offset=1).astype(np.int64) for c, r in zip(frame["chunk"], frame["rows"])])
     order = np.argsort(sig, kind="stable")
@@ -258,15 +264,15 @@ def meet(frame: pd.DataFrame) -> pd.DataFrame:
     number, uid = number[keep], uid[keep]
     order = np.lexsort((uid, number))
     number, uid = number[order], uid[order]
-    again = np.r_[False, (number[1:] == number[:-1]) & (uid[1:] == uid[:-1])]
+    again = np.r_[False, (number[1:] == number[:-1]) & (uid[1:] == uid[:-1])][: len(number)]
     number, uid = number[~again], uid[~again]
     starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]]) if len(number) else np.zeros(0, np.int64)
     ends = np.r_[starts[1:], len(number)]
     hub = np.repeat(uid[starts], ends - starts) if len(starts) else uid
     pairs = np.unique(np.stack([hub, uid], axis=1)[hub != uid], axis=0)
-    groups = {uid[a:b].tobytes() for a, b in zip(starts, ends) if b - a > 2}
+    groups = Counter(uid[a:b].tobytes() for a, b in zip(starts, ends) if b - a > 2)
     rows = [(1, int(a), int(b), None) for a, b in pairs]
-    rows += [(2, 0, 0, np.frombuffer(g, np.int64)) for g in groups]
+    rows += [(2, times, 0, np.frombuffer(g, np.int64)) for g, times in groups.items()]
     return pd.DataFrame(rows, columns=["kind", "a", "b", "members"])
 
 
@@ -293,6 +299,42 @@ def plausible(percent: int):
     return run
 
 
+def across(percent: int):
+    """Plausible pairs of the blocks of mixed groups in a shard: different components, one of both bound to the group, sizes and sketches in bounds.
+
+    Each pair has a side outside its block's largest component, so only those
+    members are compared, each with all others at once.
+    """
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["g", "lo", "hi"], ignore_index=True)
+        key = frame[["g", "lo", "hi"]].to_numpy()
+        cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
+        rep, n, label = frame["rep"].to_numpy(), frame["n"].to_numpy(), frame["label"].to_numpy()
+        bound, own, sketch = frame["bound"].to_numpy(dtype=bool), frame["own"].to_numpy(), frame["sketch"].to_numpy()
+        out = set()
+        for a, b in zip(cut, [*cut[1:], len(frame)]):
+            names, number = np.unique(label[a:b], return_inverse=True)
+            if len(names) < 2:
+                continue
+            minor = number != np.bincount(number).argmax()
+            size = min(map(len, sketch[a:b]))
+            bits = np.stack([fold(np.frombuffer(x, "u1"), size) for x in sketch[a:b]]).view("<u8")
+            r, m, k, o = rep[a:b], n[a:b], bound[a:b], own[a:b]
+            for i in np.flatnonzero(minor):
+                near = (number != number[i]) & (k | k[i]) & (~minor | (r > r[i])) & (100 * np.minimum(m, m[i]) >= percent * np.maximum(m, m[i]))
+                if key[a, 1] != key[a, 2]:
+                    near &= o != o[i]
+                at = np.flatnonzero(near)
+                if len(at):
+                    apart = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1)
+                    at = at[apart <= (100 - percent) * (m[at] + m[i]) // (100 + percent)]
+                    out |= {(min(r[i], x), max(r[i], x)) for x in r[at]}
+        return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
+
+    return run
+
+
 def wanted_sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for _, row in frame.iterrows():
@@ -340,7 +382,7 @@ class Join:
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The links among pairs of class representatives."""
-        side = self.meta.select("uid", "n", "sketch")
+        side = self.meta.select("uid", "n", "sketch")  # pairs that passed before pass again
         known = pairs.join(side.withColumnsRenamed({"uid": "a", "n": "na", "sketch": "sa"}), "a").join(side.withColumnsRenamed({"uid": "b", "n": "nb", "sketch": "sb"}), "b")
         likely = materialize(known.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(plausible(self.percent), "a long, b long"), "join-likely")
         nodes = likely.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
@@ -352,23 +394,25 @@ class Join:
         return materialize(both.select("a", "b", "ma", "mb").mapInArrow(verified(self.percent), "a long, b long"), "join-links")
 
     def rest(self, met: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs across components in groups that the stars did not settle."""
-        groups = met.where("kind = 2").select(F.xxhash64("members").alias("g"), "members").dropDuplicates(["g"])
-        rows = groups.select("g", F.size("members").alias("size"), F.explode("members").alias("uid"))
-        rep = self.members.select("uid", "rep")
-        rows = rows.join(rep, "uid").join(labels.withColumnsRenamed({"node": "rep"}), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
+        """Plausible pairs across components in groups that the stars did not settle.
+
+        Large groups are cut into blocks of BLOCK members, and each pair of
+        blocks is compared by itself.
+        """
+        groups = met.where("kind = 2").groupBy(F.xxhash64("members").alias("g")).agg(F.sum("a").alias("times"), F.first("members").alias("members"))
+        rows = groups.select("g", "times", F.size("members").alias("size"), F.explode("members").alias("uid")).join(self.members.select("uid", "rep"), "uid")
+        rows = rows.join(labels.withColumnsRenamed({"node": "rep"}), "rep", "left").select("g", "times", "size", "rep", F.coalesce("component", "rep").alias("label")).dropDuplicates(["g", "rep"])
         mixed = rows.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("g")
-        rows = materialize(rows.join(mixed, "g", "left_semi").select("g", "size", "uid", "rep", "label").dropDuplicates(["g", "rep"]), "join-mixed")
-        small = rows.where(F.col("size") <= FREQUENT)
-        listed = small.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("rep", "label"))).alias("l"))  # FREQUENT members at most
-        one = listed.select("l", F.posexplode("l").alias("i", "x"))
-        cold = one.select("x", F.explode(F.slice("l", F.col("i") + 2, FREQUENT)).alias("y")).where("x.label <> y.label").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        large = rows.where(F.col("size") > FREQUENT)
-        spare = self.meta.select("uid", "spare")
-        bound = large.groupBy("uid").agg(F.count("*").alias("frequent")).join(spare, "uid").where("frequent > spare").select("uid")
-        stay = large.join(bound, "uid", "left_semi").select("g", F.col("rep").alias("a"), F.col("label").alias("la"))
-        hot = stay.join(large.select("g", F.col("rep").alias("b"), F.col("label").alias("lb")), "g").where("la <> lb").select("a", "b")
-        return cold.unionByName(hot).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        rows = materialize(rows.join(mixed, "g", "left_semi"), "join-mixed")
+        frequent = rows.where(F.col("size") > FREQUENT).groupBy("rep").agg(F.sum("times").alias("frequent"))
+        side = self.meta.select(F.col("uid").alias("rep"), "n", "sketch", "spare")
+        rows = rows.join(side, "rep").join(frequent, "rep", "left")
+        rows = rows.withColumn("bound", (F.col("size") <= FREQUENT) | (F.col("frequent") > F.col("spare")))
+        blocks = F.ceil(F.col("size") / BLOCK)
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        rows = rows.select("g", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "n", "label", "bound", "sketch")
+        shard = F.pmod(F.xxhash64("g", "lo", "hi"), F.lit(self.shards))
+        return rows.groupBy(shard.alias("shard")).applyInPandas(across(self.percent), "a long, b long").distinct()
 
     def components(self) -> DataFrame:
         """uid, doc_id, n, component_id of every document."""
