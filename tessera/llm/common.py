@@ -63,10 +63,17 @@ def materialize(df: DataFrame, name: str, fmt: str = "parquet") -> DataFrame:
     return spark.read.schema(df.schema).format(fmt).load(path)
 
 
-def source_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the files below df (no job runs)."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+#: What Catalyst takes for the size of rows whose size it does not know.
+UNKNOWN_BYTES = 1 << 62
+
+
+def source_bytes(docs: DataFrame) -> int:
+    """Catalyst's size estimate of the files below docs (no job runs); where it has none, the bytes of the texts."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if total >= UNKNOWN_BYTES:
+        total = pick(docs, text="text").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return total
 
 
 def pieces(total_bytes: int, each: int = CHUNK_BYTES, least: int = 4) -> int:
@@ -130,3 +137,22 @@ def ascii_words(text):
 def row_key(*columns):
     """Column: a 64-bit key of a row; with the id it tells rows apart, equal rows share it."""
     return F.xxhash64(*[F.coalesce(c.cast("string"), F.lit("\0")) for c in columns])
+
+
+#: A key is heavy if it has more than 1 / HEAVY of all rows, so there are at most HEAVY of them.
+HEAVY = 10_000
+
+
+def unique_join(rows: DataFrame, known: DataFrame, keys: list[str], copies: str, value: str) -> DataFrame:
+    """rows with the column ``value`` of the row of ``known`` with the same keys, null without one.
+
+    ``known`` has one row a key and the number of its rows in ``copies``. Heavy
+    keys, at most HEAVY of them, are broadcast; the others are shuffled, so no
+    task gets all rows of a heavy key.
+    """
+    total = max(1, rows.count())
+    heavy = F.col(copies) * HEAVY > total
+    hot = known.where(heavy).select(*keys, F.col(value).alias("_heavy"))
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    done = marked.where("_heavy is not null").withColumnRenamed("_heavy", value)
+    return done.unionByName(marked.where("_heavy is null").drop("_heavy").join(known.where(~heavy).select(*keys, value), keys, "left"))

@@ -12,19 +12,18 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of the edges (a, b); the component is its smallest node.
 
-    Each round writes its edges to the shared folder, so lineage stays short
+    Nodes may be of any type that has an order. Rounds end when nothing
+    changes, and each of them takes long paths to stars. Each round writes its edges to the shared folder, so lineage stays short
     and a lost executor repeats one round at most. The number of rounds grows
     with the logarithm of the longest path; hubs are split by the skew join.
     """
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     edges = materialize(edges, "cc")
     before = _fingerprint(edges)
-    for _ in range(most_rounds):
-        if not before[0]:
-            break
+    while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()

@@ -13,15 +13,19 @@ member always meets. m and the number of one-deletion segments are allocated
 per band by cost, so that sets are safe but for a chance of about 1e-9; the
 unsafe rest is joined among itself by single shingles, so no link is lost.
 
-What meets is compared with the smallest member of its signature group (a
-star, not all pairs), and links are verified on the whole sets. Groups whose
-members then still lie in several components are searched again: members
-whose other segments are enough leave frequent groups (those over
-``FREQUENT``), and the rest of the pairs across components is verified. Equal
-sets are one class and are never compared.
-
-Signatures travel in packets of arrays (one for each chunk and shard), counts
-of chunks and shards grow with the input. Candidates first have to pass exact
+Equal sets are one class, and its first row stands for it in all that follows.
+First each set is compared with the smallest one that shares one of its
+``LOWEST`` signatures (a star, not all pairs); links are verified on the whole
+sets. Then all signatures meet, with the component each set is in by now, and
+a group whose members are in one component is done with. Of the others, pairs
+are verified; larger groups are searched by sketches: members whose other
+segments are enough leave frequent groups (those over ``FREQUENT``), and the
+rest of the pairs across components is verified. The members of hot
+signatures never meet in one task: they travel as rows and are compared in
+blocks.
+
+Signatures travel in packets of arrays (one for each chunk and shard); see
+``lm.chunk_size`` for how their number grows with the input. Candidates first have to pass exact
 bounds on size and on parity sketches (the Hamming distance of the parity
 bits never exceeds that of the sets).
 
@@ -45,9 +49,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, pick, pieces, source_bytes, table
+from .common import materialize, pick, pieces, source_bytes, table, unique_join
 from .components import components
-from .lm import CHUNK_TOKENS, SHARD_BYTES, Chunk, code, mix
+from .lm import CHUNK_TOKENS, SHARD_BYTES, Chunk, chunk_size, code, mix
 
 SHINGLE = 5
 PERCENT = 80
@@ -55,6 +59,10 @@ PERCENT = 80
 BAND = 1.5
 #: A signature group of more members is frequent.
 FREQUENT = 32
+#: Lowest signatures of a set that are matched first.
+LOWEST = 8
+#: A signature is counted if so many sets of a chunk have it, and is hot if HOT_LEAST sets and 1 / HOT of all have it.
+OFTEN, HOT_LEAST, HOT = 4, 1024, 256
 #: Members of a group that are compared in one task.
 BLOCK = 4096
 #: At most so many wanted sets are listed in a broadcast; beyond, the lists are shuffled.
@@ -66,16 +74,17 @@ _ROW_BITS = 23
 # --- sets ---------------------------------------------------------------------
 
 
-def shingle_sets(chunk: Chunk, width: int = SHINGLE) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text of a chunk."""
+def shingle_sets(chunk: Chunk, width: int = SHINGLE, only: np.ndarray | None = None) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text of a chunk, or of the texts ``only``."""
     words = chunk.vocabulary[chunk.tokens]
     n = len(words)
     gram = np.zeros(n, _U)
     for k in range(width):
         gram = mix(gram ^ np.r_[words[k:], np.zeros(min(k, n), _U)])
-    out, start = [], 0
-    for length in chunk.lengths.tolist():
-        count = length - 1  # the last token is the end
+    starts = np.r_[0, chunk.lengths.cumsum()[:-1]].astype(np.int64)
+    out = []
+    for i in range(len(starts)) if only is None else only.tolist():
+        start, count = int(starts[i]), int(chunk.lengths[i]) - 1  # the last token is the end
         if count >= width:
             out.append(np.unique(gram[start : start + count - width + 1]))
         elif count:
@@ -85,7 +94,6 @@ def shingle_sets(chunk: Chunk, width: int = SHINGLE) -> list[np.ndarray]:
             out.append(np.array([short], _U))
         else:
             out.append(np.zeros(0, _U))
-        start += length
     return out
 
 
@@ -187,8 +195,8 @@ def signatures(own: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int
 
 # --- packets -------------------------------------------------------------------
 
-META = "uid long, doc_id long, n long, d1 long, d2 long, spare int, sketch binary"
-PACKET = "shard long, chunk long, signatures binary, rows binary"
+META = "uid long, doc_id long, mark long, n long, d1 long, d2 long, spare int, sketch binary, low array<long>, often array<struct<signature:long,times:long>>"
+PACKET = "shard long, chunk long, signatures binary, rows binary, labelled binary, labels binary"
 MET = "kind int, a long, b long, members array<long>"
 
 
@@ -204,6 +212,8 @@ def chunk_of(uid):
 
 
 def metas(percent: int):
+    """A row of each document; the first row of a chunk also lists the signatures that are frequent in it."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for _, row in frame.iterrows():
@@ -212,64 +222,110 @@ def metas(percent: int):
                 ids = pd.array(np.frombuffer(row["ids"], "<i8").copy(), dtype="Int64")
                 ids[np.frombuffer(row["id_null"], "u1").astype(bool)] = pd.NA
                 d = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+                found = [signatures(s, percent) for s in sets]
+                own, times = np.unique(np.concatenate([np.zeros(0, _U), *[f[0] for f in found]]), return_counts=True)
+                often = [{"signature": int(g), "times": int(k)} for g, k in zip(own[times >= OFTEN].view(np.int64), times[times >= OFTEN])]
                 yield pd.DataFrame({
-                    "uid": uid_base(int(row["chunk"])) + np.arange(len(sets)), "doc_id": ids, "n": [len(s) for s in sets], "d1": d[:, 0], "d2": d[:, 1],
-                    "spare": [signatures(s, percent)[1] for s in sets], "sketch": [parity(s).tobytes() for s in sets],
+                    "uid": uid_base(int(row["chunk"])) + np.arange(len(sets)), "doc_id": ids, "mark": np.frombuffer(row["marks"], "<i8"), "n": [len(s) for s in sets], "d1": d[:, 0], "d2": d[:, 1],
+                    "spare": [f[1] for f in found], "sketch": [parity(s).tobytes() for s in sets], "low": [f[0][:LOWEST].view(np.int64) for f in found], "often": [often] + [None] * (len(sets) - 1),
                 })
 
     return run
 
 
-def packets(shards: int, percent: int):
-    """Signatures of a chunk's distinct sets by shard; unsafe sets give their shingles in a name space of their own."""
+def _signed(row, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of a chunk's distinct sets, and their rows; unsafe sets give their shingles too, in a name space of their own."""
+    own = row["own"].astype(np.int64) - uid_base(int(row["chunk"]))
+    sigs, rows = [np.zeros(0, _U)], [np.zeros(0, "<u4")]
+    for i, members in zip(own.tolist(), shingle_sets(Chunk.read(row), only=own)):
+        found, spare = signatures(members, percent)
+        if spare < 0:
+            found = np.concatenate([found, mix(members ^ _U(0xA5A5A5A5A5A5A5A5))])
+        sigs.append(found)
+        rows.append(np.full(len(found), i, "<u4"))
+    return np.concatenate(sigs), np.concatenate(rows)
+
+
+def packets(shards: int, percent: int, hot: np.ndarray):
+    """Signatures by shard, with the component of each row that is linked already; hot ones by chunk, beyond the shards. One frame a chunk."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for _, row in frame.iterrows():
-                seen, sigs, rows = set(), [], []
-                for i, own in enumerate(shingle_sets(Chunk.read(row))):
-                    key = xxhash.xxh3_128_digest(own.tobytes())
-                    if key in seen or not len(own):
-                        continue
-                    seen.add(key)
-                    found, spare = signatures(own, percent)
-                    if spare < 0:
-                        found = np.concatenate([found, mix(own ^ _U(0xA5A5A5A5A5A5A5A5))])
-                    sigs.append(found)
-                    rows.append(np.full(len(found), i, "<u4"))
-                sig, at = np.concatenate([np.zeros(0, _U), *sigs]), np.concatenate([np.zeros(0, "<u4"), *rows])
-                if not len(sig):
-                    continue
-                shard = (sig % _U(shards)).astype(np.int64)
+                sig, at = _signed(row, percent)
+                own = row["own"].astype(np.int64)
+                label = np.zeros(int(at.max()) + 1 if len(at) else 0, np.int64)
+                known = own - uid_base(int(row["chunk"]))
+                inside = known < len(label)
+                label[known[inside]] = np.where(row["label"] == own, 0, row["label"] + 1).astype(np.int64)[inside]
+                shard = np.where(np.isin(sig, hot), shards, (sig % _U(shards)).astype(np.int64))
                 order = np.argsort(shard, kind="stable")
-                cut = np.searchsorted(shard[order], np.arange(shards + 1))
-                kind = "<u2" if at.max() < 1 << 16 else "<u4"
+                cut = np.searchsorted(shard[order], np.arange(shards + 2))
+                kind = "<u2" if len(label) <= 1 << 16 else "<u4"
+                out = []
                 for k in np.flatnonzero(np.diff(cut)):
-                    own = order[cut[k] : cut[k + 1]]
-                    yield pd.DataFrame([(int(k), row["chunk"], sig[own].tobytes(), kind[2].encode() + at[own].astype(kind).tobytes())], columns=["shard", "chunk", "signatures", "rows"])
+                    part = order[cut[k] : cut[k + 1]]
+                    rows = at[part]
+                    linked = np.unique(rows[label[rows] > 0])
+                    to = int(k) if k < shards else shards + int(row["chunk"]) % shards
+                    out.append((to, row["chunk"], sig[part].tobytes(), kind[2].encode() + rows.astype(kind).tobytes(), linked.astype("<u4").tobytes(), (label[linked] - 1).tobytes()))
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in PACKET.split(", ")])
+
+    return run
+
+
+def meet(shards: int):
+    """Groups of signatures whose members are in more than one component: kind 1, pairs; kind 2, larger groups and how many signatures have them.
+
+    Hot signatures come by chunk: kind 3, each with its members in a chunk, so
+    no group of them meets in one task.
+    """
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        if frame["shard"].iloc[0] < shards:
+            return met_in(frame)
+        rows = []
+        for chunk, s, r in zip(frame["chunk"], frame["signatures"], frame["rows"]):
+            sig = np.frombuffer(s, "<u8").view(np.int64)
+            uid = uid_base(int(chunk)) + np.frombuffer(r, f"<u{r[:1].decode()}", offset=1).astype(np.int64)
+            order = np.argsort(sig, kind="stable")
+            own, first = np.unique(sig[order], return_index=True)
+            rows += [(3, int(g), 0, members) for g, members in zip(own, np.split(uid[order], first[1:]))]
+        return pd.DataFrame(rows, columns=["kind", "a", "b", "members"])
 
     return run
 
 
-def meet(frame: pd.DataFrame) -> pd.DataFrame:
-    """What meets in a shard: kind 1, each member with the smallest of its group; kind 2, groups of three or more and how many signatures have them."""
-    sig = np.concatenate([np.frombuffer(s, "<u8") for s in frame["signatures"]])
-    uid = np.concatenate([uid_base(int(c)) + np.frombuffer(r, f"<u{r[:1].decode()}", offset=1).astype(np.int64) for c, r in zip(frame["chunk"], frame["rows"])])
+def met_in(frame: pd.DataFrame) -> pd.DataFrame:
+    """The mixed groups of one shard."""
+    sigs, uids, labels = [], [], []
+    for chunk, s, r, linked, label in zip(*(frame[c] for c in ("chunk", "signatures", "rows", "labelled", "labels"))):
+        rows = np.frombuffer(r, f"<u{r[:1].decode()}", offset=1).astype(np.int64)
+        uid = uid_base(int(chunk)) + rows
+        known, at = np.frombuffer(linked, "<u4").astype(np.int64), uid.copy()
+        if len(known):
+            spot = np.minimum(np.searchsorted(known, rows), len(known) - 1)
+            at = np.where(known[spot] == rows, np.frombuffer(label, "<i8")[spot], uid)
+        sigs.append(np.frombuffer(s, "<u8"))
+        uids.append(uid)
+        labels.append(at)
+    sig, uid, label = np.concatenate(sigs), np.concatenate(uids), np.concatenate(labels)
     order = np.argsort(sig, kind="stable")
-    sig, uid = sig[order], uid[order]
-    first = np.r_[True, sig[1:] != sig[:-1]]
-    number = first.cumsum() - 1
-    size = np.bincount(number)
-    keep = size[number] > 1
-    number, uid = number[keep], uid[keep]
+    sig = sig[order]
+    first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[first, len(sig)])
+    label = label[order]
+    mixed = (np.minimum.reduceat(label, first) != np.maximum.reduceat(label, first)) if len(first) else np.zeros(0, bool)
+    keep = np.repeat(mixed, size)
+    number, uid = np.repeat(np.arange(len(first)), size)[keep], uid[order][keep]
     order = np.lexsort((uid, number))
     number, uid = number[order], uid[order]
     again = np.r_[False, (number[1:] == number[:-1]) & (uid[1:] == uid[:-1])][: len(number)]
     number, uid = number[~again], uid[~again]
     starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]]) if len(number) else np.zeros(0, np.int64)
-    ends = np.r_[starts[1:], len(number)]
-    hub = np.repeat(uid[starts], ends - starts) if len(starts) else uid
-    pairs = np.unique(np.stack([hub, uid], axis=1)[hub != uid], axis=0)
+    ends = np.r_[starts[1:], len(number)].astype(np.int64)
+    two = starts[ends - starts == 2]
+    pairs = np.unique(np.stack([uid[two], uid[two + 1]], axis=1), axis=0) if len(two) else np.zeros((0, 2), np.int64)
     groups = Counter(uid[a:b].tobytes() for a, b in zip(starts, ends) if b - a > 2)
     rows = [(1, int(a), int(b), None) for a, b in pairs]
     rows += [(2, times, 0, np.frombuffer(g, np.int64)) for g, times in groups.items()]
@@ -278,6 +334,9 @@ def meet(frame: pd.DataFrame) -> pd.DataFrame:
 
 # --- verification --------------------------------------------------------------
 
+NODE = "struct<no_id:boolean,least:bigint,mark:bigint,uid:bigint>"
+LIKELY = f"a long, b long, xa {NODE}, xb {NODE}"
+
 
 def plausible(percent: int):
     """Pairs whose sizes and sketches allow the similarity."""
@@ -294,7 +353,7 @@ def plausible(percent: int):
                     ok = int(np.bitwise_count(fold(u, size) ^ fold(v, size)).sum()) <= most_different(r, s, percent)
                 keep.append(ok)
             chosen = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([chosen.column("a"), chosen.column("b")], names=["a", "b"])
+            yield chosen.select(["a", "b", "xa", "xb"])
 
     return run
 
@@ -338,8 +397,9 @@ def across(percent: int):
 def wanted_sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for _, row in frame.iterrows():
-            sets, base = shingle_sets(Chunk.read(row)), uid_base(int(row["chunk"]))
-            yield pd.DataFrame({"uid": np.array(row["wanted"], np.int64), "members": [sets[u - base].tobytes() for u in row["wanted"]]})
+            wanted = np.array(row["wanted"], np.int64)
+            sets = shingle_sets(Chunk.read(row), only=wanted - uid_base(int(row["chunk"])))
+            yield pd.DataFrame({"uid": wanted, "members": [own.tobytes() for own in sets]})
 
 
 def verified(percent: int):
@@ -350,63 +410,77 @@ def verified(percent: int):
                 u, v = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
                 both = len(np.intersect1d(u, v, assume_unique=True))
                 keep.append(100 * both >= percent * (len(u) + len(v) - both))
-            chosen = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([chosen.column("a"), chosen.column("b")], names=["a", "b"])
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b", "xa", "xb"])
 
     return run
 
 
 class Join:
-    """The steps of one join; ``links`` and ``members`` are what it returns."""
+    """The steps of one join; ``rows`` and ``components`` are what it returns."""
 
     def __init__(self, docs: DataFrame, *, percent: int = PERCENT, chunk_tokens: int = CHUNK_TOKENS, shards: int | None = None):
         self.percent = percent
-        self.shards = shards or min(1 << 18, pieces(source_bytes(docs), SHARD_BYTES))
-        own = pick(docs, doc_id="doc_id", text="text").withColumn("held_out", F.lit(False))
-        self.coded = materialize(code(own, min(max(chunk_tokens, 16 * self.shards), (1 << _ROW_BITS) - 1)), "join-coded")
+        self.shards = shards or pieces(source_bytes(docs), SHARD_BYTES)
+        own = pick(docs, doc_id="doc_id", text="text").select("doc_id", F.lit(False).alias("held_out"), "text", text_mark(F.col("text")).alias("mark"))
+        self.coded = materialize(code(own, min(chunk_size(chunk_tokens, self.shards), (1 << _ROW_BITS) - 1)), "join-coded")
         self.meta = materialize(self.coded.mapInPandas(metas(percent), META), "join-meta")
-        # classes of equal sets; the smallest row stands for all
-        self.classes = materialize(self.meta.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("uid").alias("rep")), "join-classes")
-        self.members = self.meta.join(self.classes, ["d1", "d2", "n"], "left").select("uid", "doc_id", "n", "rep")
-
-    def candidates(self) -> DataFrame:
-        """What met in the shards."""
-        dealt = self.coded.mapInPandas(packets(self.shards, self.percent), PACKET)
-        return materialize(dealt.groupBy("shard").applyInPandas(meet, MET), "join-met")
-
-    def by_class(self, pairs: DataFrame) -> DataFrame:
-        """Distinct pairs (a < b) of different classes for pairs of rows."""
-        rep = self.members.select("uid", "rep")
-        pairs = pairs.join(rep.withColumnsRenamed({"uid": "a", "rep": "ra"}), "a").join(rep.withColumnsRenamed({"uid": "b", "rep": "rb"}), "b")
-        return pairs.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+        # classes of equal sets; the smallest row stands for all in every later step
+        first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("least"), "mark"))
+        self.classes = materialize(self.meta.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("uid").alias("uid"), F.count("*").alias("copies"), first.alias("first")), "join-classes")
+        node = F.struct("first.no_id", "first.least", "first.mark", "uid")
+        self.reps = materialize(self.meta.select("uid", "spare", "sketch", "low").join(self.classes.select("uid", "n", node.alias("node")), "uid"), "join-reps")
+
+    def lowest(self) -> DataFrame:
+        """Pairs of each set with the smallest set that shares one of its lowest signatures (a star, not all pairs)."""
+        each = self.reps.select("uid", F.explode("low").alias("signature"))
+        hubs = each.groupBy("signature").agg(F.min("uid").alias("a"), F.count("*").alias("size")).where("size > 1").drop("size")
+        return each.join(hubs, "signature").where("uid <> a").select("a", F.col("uid").alias("b")).distinct()
+
+    def hot(self) -> np.ndarray:
+        """Signatures of a large share of all sets, as counted where they are frequent; at most HOT times the signatures of a set."""
+        often = self.meta.where("often is not null").select(F.explode("often").alias("o")).groupBy("o.signature").agg(F.sum("o.times").alias("times"))
+        least = F.lit(self.meta.count() / HOT)
+        found = often.where((F.col("times") >= HOT_LEAST) & (F.col("times") >= least)).select("signature")
+        return np.sort(np.array([r[0] for r in found.collect()], np.int64).view(_U))
+
+    def by_chunk(self, labels: DataFrame) -> DataFrame:
+        """The coded chunks with the ids and components of their representatives."""
+        known = self.reps.select("uid").join(labels.select(F.col("node.uid").alias("uid"), F.col("component.uid").alias("label")), "uid", "left")
+        own = known.groupBy(chunk_of(F.col("uid")).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("uid", F.coalesce("label", "uid").alias("label")))).alias("r"))  # a chunk's own rows
+        own = own.select("chunk", F.col("r.uid").alias("own"), F.col("r.label").alias("label"))
+        few = self.reps.count() <= BROADCAST_ROWS  # of 16 bytes
+        return self.coded.join(F.broadcast(own) if few else own.hint("shuffle_merge"), "chunk")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
-        """The links among pairs of class representatives."""
-        side = self.meta.select("uid", "n", "sketch")  # pairs that passed before pass again
-        known = pairs.join(side.withColumnsRenamed({"uid": "a", "n": "na", "sketch": "sa"}), "a").join(side.withColumnsRenamed({"uid": "b", "n": "nb", "sketch": "sb"}), "b")
-        likely = materialize(known.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(plausible(self.percent), "a long, b long"), "join-likely")
+        """The links (nodes a, b) among pairs of class representatives."""
+        side = self.reps.select("uid", "n", "sketch", "node")
+        known = pairs.join(side.withColumnsRenamed({"uid": "a", "n": "na", "sketch": "sa", "node": "xa"}), "a").join(side.withColumnsRenamed({"uid": "b", "n": "nb", "sketch": "sb", "node": "xb"}), "b")
+        likely = materialize(known.select("a", "b", "xa", "xb", "na", "nb", "sa", "sb").mapInArrow(plausible(self.percent), LIKELY), "join-likely")
         nodes = likely.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
         count = nodes.count()
         wanted = nodes.groupBy(chunk_of(F.col("uid")).alias("chunk")).agg(F.collect_list("uid").alias("wanted"))
         listed = self.coded.join(F.broadcast(wanted) if count <= BROADCAST_ROWS else wanted.hint("shuffle_merge"), "chunk")
         sets = listed.mapInPandas(wanted_sets, "uid long, members binary")
         both = likely.join(sets.withColumnsRenamed({"uid": "a", "members": "ma"}), "a").join(sets.withColumnsRenamed({"uid": "b", "members": "mb"}), "b")
-        return materialize(both.select("a", "b", "ma", "mb").mapInArrow(verified(self.percent), "a long, b long"), "join-links")
+        return materialize(both.select("a", "b", "xa", "xb", "ma", "mb").mapInArrow(verified(self.percent), LIKELY).select(F.col("xa").alias("a"), F.col("xb").alias("b")), "join-links")
 
     def rest(self, met: DataFrame, labels: DataFrame) -> DataFrame:
-        """Plausible pairs across components in groups that the stars did not settle.
+        """Plausible pairs across components in the groups of three and more and in those of hot signatures.
 
         Large groups are cut into blocks of BLOCK members, and each pair of
         blocks is compared by itself.
         """
         groups = met.where("kind = 2").groupBy(F.xxhash64("members").alias("g")).agg(F.sum("a").alias("times"), F.first("members").alias("members"))
-        rows = groups.select("g", "times", F.size("members").alias("size"), F.explode("members").alias("uid")).join(self.members.select("uid", "rep"), "uid")
-        rows = rows.join(labels.withColumnsRenamed({"node": "rep"}), "rep", "left").select("g", "times", "size", "rep", F.coalesce("component", "rep").alias("label")).dropDuplicates(["g", "rep"])
+        rows = groups.select("g", "times", F.size("members").cast("long").alias("size"), F.explode("members").alias("rep"))
+        hot = met.where("kind = 3").select(F.col("a").alias("g"), F.lit(1).cast("long").alias("times"), "members")
+        size = hot.groupBy("g").agg(F.sum(F.size("members")).alias("size"))  # a row of each hot signature
+        rows = rows.unionByName(hot.join(F.broadcast(size), "g").select("g", "times", "size", F.explode("members").alias("rep")))
+        known = labels.select(F.col("node.uid").alias("rep"), F.col("component.uid").alias("label"))
+        rows = rows.join(known, "rep", "left").select("g", "times", "size", "rep", F.coalesce("label", "rep").alias("label"))
         mixed = rows.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("g")
         rows = materialize(rows.join(mixed, "g", "left_semi"), "join-mixed")
         frequent = rows.where(F.col("size") > FREQUENT).groupBy("rep").agg(F.sum("times").alias("frequent"))
-        side = self.meta.select(F.col("uid").alias("rep"), "n", "sketch", "spare")
-        rows = rows.join(side, "rep").join(frequent, "rep", "left")
+        rows = rows.join(self.reps.select(F.col("uid").alias("rep"), "n", "sketch", "spare"), "rep").join(frequent, "rep", "left")
         rows = rows.withColumn("bound", (F.col("size") <= FREQUENT) | (F.col("frequent") > F.col("spare")))
         blocks = F.ceil(F.col("size") / BLOCK)
         rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
@@ -414,35 +488,58 @@ class Join:
         shard = F.pmod(F.xxhash64("g", "lo", "hi"), F.lit(self.shards))
         return rows.groupBy(shard.alias("shard")).applyInPandas(across(self.percent), "a long, b long").distinct()
 
-    def components(self) -> DataFrame:
-        """uid, doc_id, n, component_id of every document."""
-        met = self.candidates()
-        links = self.verify(self.by_class(met.where("kind = 1").select("a", "b").distinct()))
+    def links(self) -> DataFrame:
+        """Links (nodes a, b) that connect what is connected: first by the lowest signatures, then among what these leave apart."""
+        links = self.verify(self.lowest())
         labels = components(links)
-        more = materialize(self.rest(met, labels), "join-rest")
-        if not more.isEmpty():
-            self.links = links.unionByName(self.verify(more))
-            labels = components(self.links)
-        else:
-            self.links = links
-        labelled = self.members.join(labels.withColumnsRenamed({"node": "rep"}), "rep", "left").withColumn("root", F.coalesce("component", "rep", F.lit(-1) - F.col("uid")))
-        smallest = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-        return labelled.join(smallest, "root").select("uid", "doc_id", F.col("n").alias("n_shingles"), "component_id")
+        dealt = self.by_chunk(labels).mapInPandas(packets(self.shards, self.percent, self.hot()), PACKET)
+        met = materialize(dealt.groupBy("shard").applyInPandas(meet(self.shards), MET), "join-met")
+        more = met.where("kind = 1").select("a", "b").unionByName(self.rest(met, labels)).distinct()
+        return links.unionByName(self.verify(more))
+
+    def components(self) -> DataFrame:
+        """uid, doc_id, mark, n_shingles, component_id of every document, and ``first``: whether it is the first of its component."""
+        labels = components(self.links()).select(F.col("node.uid").alias("uid"), F.col("component").alias("root"))
+        named = self.classes.join(labels, "uid", "left").select("d1", "d2", "n", "copies", F.coalesce("root", F.struct("first.no_id", "first.least", "first.mark", "uid")).alias("root"))
+        all_ = unique_join(self.meta.select("uid", "doc_id", "mark", "n", "d1", "d2"), named, ["d1", "d2", "n"], "copies", "root")
+        one = F.col("root").isNull()  # an empty set is its own component
+        least = F.when(one, F.col("doc_id")).otherwise(F.when(~F.col("root.no_id"), F.col("root.least")))
+        first = one | (F.col("doc_id").eqNullSafe(least) & (F.col("mark") == F.col("root.mark")))
+        return all_.select("uid", "doc_id", "mark", F.col("n").alias("n_shingles"), least.alias("component_id"), first.alias("first"))
+
+
+def text_mark(text):
+    """Column: a 64-bit hash of a text; with the id it tells the rows of a table apart, equal rows share it."""
+    return F.xxhash64(F.coalesce(text, F.lit("\0")))
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Join(table(spark, sf_dir, "documents")).components().drop("uid")
+    """n_shingles and component_id of every document; nulls, repeats and empty texts as the module states."""
+    return Join(table(spark, sf_dir, "documents")).components().select("doc_id", "n_shingles", "component_id")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest id stays; all columns stay.
+    """Of each component one row stays: the one with the smallest id (null last), then text hash; columns stay.
 
-    Rows without an id stay. Where ids repeat, equal rows are reduced to one.
+    Rows are told apart by id and text, so another text under a dropped id
+    stays. Equal rows (same id, null or not, and same text) are reduced to
+    one. Texts without words are nobody's copy: all their rows stay.
     """
-    found = materialize(Join(docs).components().select("doc_id", "component_id"), "join-found")
-    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
-    if drop.count() <= BROADCAST_ROWS:
-        drop = F.broadcast(drop)
-    kept = docs.join(drop, docs.doc_id == F.col("_drop"), "left_anti")
-    unique = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
-    return kept if unique else kept.dropDuplicates(["doc_id", "text"])
+    found = materialize(Join(docs).components().select("doc_id", "mark", "n_shingles", "first"), "join-found")
+    drop = found.where("not first").select("doc_id", "mark").distinct()
+    again = found.where("first and n_shingles > 0").groupBy("doc_id", "mark").count().where("count > 1").select("doc_id", "mark")
+    names = [f"_c{i}" for i in range(len(docs.columns))]  # columns may have any names
+    own = docs.toDF(*names)
+    id_, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    own = own.withColumns({"_id": id_, "_mark": text_mark(text)})
+
+    def of(rows: DataFrame, how: str) -> DataFrame:
+        few = rows.withColumnsRenamed({"doc_id": "_other", "mark": "_other_mark"})
+        few = F.broadcast(few) if rows.count() <= BROADCAST_ROWS else few  # of 16 bytes
+        return own.join(few, F.col("_id").eqNullSafe(F.col("_other")) & (F.col("_mark") == F.col("_other_mark")), how)
+
+    kept = of(drop, "left_anti")
+    if not again.isEmpty():
+        own = kept
+        kept = of(again, "left_anti").unionByName(of(again, "left_semi").dropDuplicates(["_id", "_mark"]))
+    return kept.select(*names).toDF(*docs.columns)

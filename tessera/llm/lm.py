@@ -35,6 +35,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -125,7 +126,18 @@ def expand(data: bytes, kind: str) -> np.ndarray:
 
 # --- chunks -----------------------------------------------------------------
 
-CODED = "chunk long, rows long, ids binary, id_null binary, held binary, lengths binary, tokens binary, vocabulary binary"
+CODED = "chunk long, rows long, ids binary, id_null binary, marks binary, held binary, lengths binary, tokens binary, vocabulary binary"
+#: Least tokens of a chunk for each shard, and most tokens of a chunk: packets hold about so many tokens or more.
+PACKET_TOKENS, MOST_TOKENS = 2048, 4_000_000
+
+
+def chunk_size(chunk_tokens: int, shards: int) -> int:
+    """Tokens of a chunk: they grow with the number of shards, so the packets between chunks and shards grow as the input and not as its square.
+
+    That holds to ``MOST_TOKENS`` a chunk, or about 2,000 shards; beyond it
+    packets get smaller.
+    """
+    return max(chunk_tokens, min(PACKET_TOKENS * shards, MOST_TOKENS))
 
 
 @dataclass
@@ -165,27 +177,30 @@ class Chunk:
 
 
 def code(docs: DataFrame, chunk_tokens: int) -> DataFrame:
-    """Whole texts as chunks. docs: doc_id, held_out, text."""
+    """Whole texts as chunks. docs: doc_id, held_out, text, and a number ``mark`` if each text has one."""
+    columns = ["doc_id", "held_out", "text", *(["mark"] if "mark" in docs.columns else [])]
+
+    with_marks = "mark" in columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         made = 0
-        ids, held, lengths, tokens, known = [], [], [], [], {}
+        ids, marks, held, lengths, tokens, known = [], [], [], [], [], {}
 
         def row() -> pd.DataFrame:
             nonlocal made
             words = sorted(known, key=known.get)
             vocabulary = np.fromiter((xxhash.xxh3_64_intdigest(w) if w else int(END) for w in words), "<u8", len(words))
             out = {
-                "chunk": (TaskContext.get().partitionId() << 32) + made, "rows": len(ids), "ids": np.array([i or 0 for i in ids], "<i8").tobytes(), "id_null": np.array([i is None for i in ids], "u1").tobytes(),
+                "chunk": (TaskContext.get().partitionId() << 32) + made, "rows": len(ids), "ids": np.array([i or 0 for i in ids], "<i8").tobytes(), "id_null": np.array([i is None for i in ids], "u1").tobytes(), "marks": np.array(marks, "<i8").tobytes(),
                 "held": np.array(held, "u1").tobytes(), "lengths": np.array(lengths, "<i4").tobytes(), "tokens": squeeze(np.array(tokens, "<i4")), "vocabulary": squeeze(vocabulary),
             }
             made += 1
-            for x in (ids, held, lengths, tokens, known):
+            for x in (ids, marks, held, lengths, tokens, known):
                 x.clear()
             return pd.DataFrame([out])
 
         for batch in batches:
-            for i, h, text in zip(batch["doc_id"], batch["held_out"], batch["text"]):
+            for i, h, text, mark in zip(batch["doc_id"], batch["held_out"], batch["text"], batch.get("mark", repeat(0))):
                 words = (text or "").encode("utf-8", "surrogatepass").translate(_LOW).split()
                 words.append(b"")  # the end
                 for w in words:
@@ -194,6 +209,7 @@ def code(docs: DataFrame, chunk_tokens: int) -> DataFrame:
                 tokens += [known[w] for w in words]
                 ids.append(i if i is not None and i == i else None)
                 held.append(bool(h))
+                marks += [mark] * with_marks
                 lengths.append(len(words))
                 if len(tokens) >= chunk_tokens:
                     yield row()
@@ -201,11 +217,11 @@ def code(docs: DataFrame, chunk_tokens: int) -> DataFrame:
             yield row()
 
     def arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists = ({c: b.column(c).to_pylist() for c in ("doc_id", "held_out", "text")} for b in batches)
+        lists = ({c: b.column(c).to_pylist() for c in columns} for b in batches)
         for frame in run(lists):
             yield pa.RecordBatch.from_arrays([pa.array(frame[c], pa.binary() if c not in ("chunk", "rows") else pa.int64()) for c in frame], names=list(frame))
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(arrow, CODED)
+    return docs.select(*columns).mapInArrow(arrow, CODED)
 
 
 # --- exchange between chunks and shards -------------------------------------
@@ -379,8 +395,8 @@ def totals(words: DataFrame, shards: int) -> tuple[int, int, dict[int, int]]:
 def score(docs: DataFrame, held_out, *, order: int = 2, mu: float = 4.0, chunk_tokens: int = CHUNK_TOKENS, shards: int | None = None) -> DataFrame:
     """Scores of all documents by a model of those for which the column ``held_out`` is false."""
     own = pick(docs, doc_id="doc_id", text="text").withColumn("held_out", F.coalesce(held_out, F.lit(False)))
-    shards = shards or min(1 << 18, pieces(source_bytes(docs), SHARD_BYTES))
-    coded = materialize(code(own, max(chunk_tokens, 16 * shards)), "lm-coded")
+    shards = shards or pieces(source_bytes(docs), SHARD_BYTES)
+    coded = materialize(code(own, chunk_size(chunk_tokens, shards)), "lm-coded")
     # the answers are read twice: for the totals and by the chunks
     words = materialize(coded.mapInPandas(word_packets(shards), PACKET).groupBy("shard").applyInPandas(word_shard, ANSWER), "lm-words")
     n, v, hot = totals(words, shards)
