@@ -477,8 +477,9 @@ class Join:
         rows = rows.unionByName(hot.join(F.broadcast(size), "g").select("g", "times", "size", F.explode("members").alias("rep")))
         known = labels.select(F.col("node.uid").alias("rep"), F.col("component.uid").alias("label"))
         rows = rows.join(known, "rep", "left").select("g", "times", "size", "rep", F.coalesce("label", "rep").alias("label"))
-        mixed = rows.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("g")
-        rows = materialize(rows.join(mixed, "g", "left_semi"), "join-mixed")
+        mixed = materialize(rows.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("g"), "join-groups")
+        few = mixed.count() <= BROADCAST_ROWS  # of 8 bytes; the rows of a hot signature then stay where they are
+        rows = materialize(rows.join(F.broadcast(mixed) if few else mixed, "g", "left_semi"), "join-mixed")
         frequent = rows.where(F.col("size") > FREQUENT).groupBy("rep").agg(F.sum("times").alias("frequent"))
         rows = rows.join(self.reps.select(F.col("uid").alias("rep"), "n", "sketch", "spare"), "rep").join(frequent, "rep", "left")
         rows = rows.withColumn("bound", (F.col("size") <= FREQUENT) | (F.col("frequent") > F.col("spare")))

@@ -12,11 +12,12 @@ Packing is local to an input partition (no shuffle); a bounded pool of rests
 is held at a time. Sequence numbers carry the partition in their upper bits,
 so a lost partition is packed again in the same way.
 
-Tokens are those of the byte-level BPE file at ``tokenizer_path``; strings of
-special tokens in a text are ordinary text. Words are tokenized once per
-worker: a text is cut before each space that another character than white
-space follows, where a token always begins, and the ids of each piece are
-kept in a bounded cache.
+Tokens are those of the byte-level BPE file at ``tokenizer_path``, without
+those that its post-processor would add around a text; an added token of the
+file that stands in a text is its one id. Words are tokenized once per worker:
+a text is cut before each space that another character than white space
+follows, where a token always begins, and the ids of each piece are kept in a
+bounded cache.
 
 Defined results: a null text is empty, an empty text is the one id 0; a
 repeated row is packed again; a null doc_id is kept; an empty table gives no
@@ -60,7 +61,7 @@ def _byte_of_char() -> dict[str, int]:
 
 
 class Encoder:
-    """Token ids of a byte-level BPE file, without special tokens."""
+    """Token ids of a byte-level BPE file. Of the added tokens that could begin at a place the longest counts."""
 
     def __init__(self, path: str):
         import public_tokenizers
@@ -69,8 +70,13 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec["pre_tokenizer"] or {}
-        if spec["model"]["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec["normalizer"]:
-            raise ValueError("only byte-level BPE without normalizer or prefix space is supported")
+        if spec["model"]["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec["normalizer"]:
+            raise ValueError("only byte-level BPE that splits by its pattern, without normalizer or prefix space, is supported")
+        added = {t["content"]: t for t in spec.get("added_tokens", ())}
+        if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in added.values()):
+            raise ValueError("added tokens that take in blanks or only stand as words are not supported")
+        self._added = {content: np.array([t["id"]], "<u4").tobytes() for content, t in added.items()}
+        self._split = re.compile("(" + "|".join(re.escape(c) for c in sorted(added, key=len, reverse=True)) + ")") if added else None
         back = _byte_of_char()
         ranks = {bytes(back[c] for c in token): i for token, i in spec["model"]["vocab"].items()}
         self._bpe = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -86,6 +92,12 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
+        if self._split and self._split.search(text):
+            return b"".join(self._added.get(part) or self._plain(part) for part in self._split.split(text))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
+        """The ids of a text without added tokens."""
         if not text:
             return b""
         if _CUT.search(text):
@@ -221,6 +233,7 @@ def default_tokenizer() -> str:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents; nulls, repeats and empty tables as the module states."""
     return pack(table(spark, sf_dir, "documents"), default_tokenizer())
 
 

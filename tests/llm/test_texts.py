@@ -180,7 +180,6 @@ def test_packing_is_a_round_trip_without_padding(spark):
     rows = [(i, r[1], *r[2:]) for i, r in enumerate([*edge_docs(), (0, "a  b   c \n\n d\u00a0e f\x1c g <|endoftext|> it's  ", "", "", 0, 0.0, "")])]
     path = packing.default_tokenizer()
     plain = tokenizers.Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     ids = {r[0]: np.array([*plain.encode(r[1] or "", add_special_tokens=False).ids, 0], "<u4") for r in rows}
     found = packing.pack(docs(spark, rows).repartition(3), path).toPandas()
     for doc, pieces in found.sort_values("start").groupby("doc_id"):
@@ -198,6 +197,18 @@ def test_packing_is_a_round_trip_without_padding(spark):
         packing.pack(docs(spark, []), path, tiers=(100,))
 
 
+def test_token_ids_equal_the_library(spark):
+    import random
+
+    tokenizers = pytest.importorskip("tokenizers")
+    path = packing.default_tokenizer()
+    plain, own, dice = tokenizers.Tokenizer.from_file(path), packing.Encoder(path), random.Random(4)
+    parts = [*own._added, "<|endoftext|", "<|", "|>", "  ", " ", "\n", "a", " word", "It's", "\u00e9", "\U0001f600", "12", "<", "\u2003", "...", "\t"]
+    for _ in range(6000):
+        text = "".join(dice.choice(parts) for _ in range(dice.randrange(1, 12)))
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
 @pytest.mark.parametrize("universe", [1, 50, 10**6, 1 << 63])
 def test_elias_fano_searches(universe):
     dice = np.random.default_rng(universe % 97)
