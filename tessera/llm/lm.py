@@ -12,18 +12,22 @@ machine:
 2. Each chunk sends every shard its distinct words with their training
    counts; a shard sums them and answers every chunk with the totals.
 3. In the same way each chunk sends its distinct n-grams, keyed by context and
-   next word. A shard builds the trie of its contexts: sorted contexts,
+   next word. A shard builds a trie level of its contexts: sorted contexts,
    monotone pointers to their followers, the followers relative to their
-   context, all Elias-Fano coded in memory-mapped levels, and quantised
-   probabilities. It answers each chunk's n-grams by successor search.
-4. Chunks meet their answers and score whole texts.
+   context, all Elias-Fano coded in memory-mapped arrays, and the quantised
+   share of each n-gram in all tokens. It answers each chunk's n-grams by
+   successor search.
+4. Chunks meet their answers and score whole texts, from the shortest context
+   to the longest. How often a context of n - 1 words was continued is the
+   count of the n-1-gram one token before, so no context is counted by itself
+   and contexts that share a 32-bit hash are not added up.
 
 n-grams are counted within their chunk before they are sent. Contexts are
-dealt to shards by hash; a context that holds more than a share of all tokens
-(at most ``HOT`` * shards words can) is dealt by context and next word, with
-its total, so no shard gets all its followers. Shards and chunks grow in
-number with the input. Everything but the coded chunks and unigram answers is
-recomputed if an executor is lost.
+dealt to shards by hash; those that end with a word of more than a share of
+all tokens (at most ``HOT`` * shards words can), or begin a text, are dealt by
+context and next word, so no shard gets all followers of a frequent context at
+any level. See ``chunk_size`` for the number of packets. Everything but the
+coded chunks and unigram answers is recomputed if an executor is lost.
 
 Defined results: a null text is empty, an empty text is the one end token;
 repeated rows each give a row; null ids are trained on and not held out;
@@ -48,9 +52,10 @@ from pyspark.sql import functions as F
 from .common import UPPER, materialize, pick, pieces, source_bytes, table
 from .elias_fano import EliasFano, mapped
 
+ORDER = 3
 CHUNK_TOKENS = 500_000
 SHARD_BYTES = 8 << 20
-#: A context is hot if it holds more than 1 / (HOT * shards) of all tokens.
+#: A word is hot if it is more than 1 / (HOT * shards) of all tokens.
 HOT = 4
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LOW = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
@@ -79,37 +84,32 @@ def dequantise(code: np.ndarray) -> np.ndarray:
 
 
 class Trie:
-    """One shard's contexts and followers; ``value`` holds the quantised share of each follower."""
+    """One shard's contexts and followers; ``value`` holds the quantised share of each n-gram in all tokens."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, mu: float, totals: dict[int, int]):
-        """keys: sorted, context << 32 | follower, with their counts; totals: of contexts that are spread over shards."""
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, tokens: int):
+        """keys: sorted, context << 32 | follower, with their counts."""
         context = keys >> _U(32)
         first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(keys) else np.zeros(0, np.int64)
         own = context[first]
-        total = np.add.reduceat(counts, first).astype(float) if len(keys) else np.zeros(0)
-        for i in np.flatnonzero(np.isin(own, np.array(list(totals), _U))) if totals else ():
-            total[i] = totals[int(own[i])]
         size = np.diff(np.r_[first, len(keys)])
         self.contexts = EliasFano(own, 1 << 32)
         self.pointers = EliasFano(np.r_[first, len(keys)], len(keys) + 1)
         number = np.repeat(np.arange(len(own), dtype=_U), size)
         self.followers = EliasFano(number << _U(32) | keys & _U(0xFFFFFFFF), max(1, len(own)) << 32)
-        self.value = mapped(quantise(counts / (np.repeat(total, size) + mu)))
-        self.weight = mapped(quantise(mu / (total + mu)))
+        self.value = mapped(quantise(counts / max(1, tokens)))
 
-    def probe(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of each n-gram's share and of its context's weight for shorter contexts; 0 and the code of 1 if unseen."""
+    def probe(self, keys: np.ndarray) -> np.ndarray:
+        """Codes of each n-gram's share, 0 if unseen."""
         keys = np.asarray(keys, _U)
-        value, weight = np.zeros(len(keys), "<u2"), np.full(len(keys), STEPS + 1, "<u2")
+        value = np.zeros(len(keys), "<u2")
         context = self.contexts.find(keys >> _U(32))
         known = np.flatnonzero(context >= 0)
         if len(known):
             c = context[known]
-            weight[known] = self.weight[c]
             low, high = self.pointers.get(c).astype(np.int64), self.pointers.get(c + 1).astype(np.int64)
             at = self.followers.find(c.astype(_U) << _U(32) | keys[known] & _U(0xFFFFFFFF), low, high)
             value[known[at >= 0]] = self.value[at[at >= 0]]
-        return value, weight
+        return value
 
 
 def squeeze(array: np.ndarray) -> bytes:
@@ -162,18 +162,19 @@ class Chunk:
         """Training count of each word of the vocabulary."""
         return np.bincount(self.tokens[self.trained()], minlength=len(self.vocabulary))
 
-    def hashes(self, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """Per token: 64-bit hashes of its context of order - 1 tokens and of itself."""
+    def hashes(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per token: 64-bit hashes of its context of order - 1 tokens, of the last word of the context, and of itself."""
         own = self.vocabulary[self.tokens]
         start = np.zeros(len(own), bool)
         start[np.r_[0, self.lengths.cumsum()[:-1]].astype(int)] = True
-        context, before, begun = np.zeros(len(own), _U), own, start
+        context, before, begun, last = np.zeros(len(own), _U), own, start, None
         for _ in range(order - 1):
             before = np.r_[START, before[:-1]]
             before[begun] = START
+            last = before if last is None else last
             context = mix(context ^ before)
             begun = start | np.r_[True, begun[:-1]]
-        return context, own
+        return context, last, own
 
 
 def code(docs: DataFrame, chunk_tokens: int) -> DataFrame:
@@ -227,14 +228,15 @@ def code(docs: DataFrame, chunk_tokens: int) -> DataFrame:
 # --- exchange between chunks and shards -------------------------------------
 
 PACKET = "level int, shard long, chunk long, keys binary, counts binary"
-ANSWER = "level int, shard long, chunk long, value binary, extra binary"
+#: Answers of level 1 and more to a chunk; of level 0 a shard's words, and of level -1 its most frequent ones.
+ANSWER = "level int, shard long, chunk long, value binary, word long, times long"
 
 
 def ngrams(chunk: Chunk, level: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The chunk's distinct n-grams: keys (context << 32 | next), training counts, places (hashes to deal by), and each token's n-gram."""
-    context, own = chunk.hashes(level)
+    context, last, own = chunk.hashes(level)
     key = mix(context) >> _U(32) << _U(32) | mix(own) >> _U(32)
-    spread = np.isin(context, hot)
+    spread = (last == START) | np.isin(last, hot)
     deal = np.where(spread, mix(context + mix(own)), mix(context ^ _U(level)))
     order = np.argsort(key, kind="stable")
     sorted_key = key[order]
@@ -266,14 +268,17 @@ def _wide(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
 
+def _packets(level: int, chunk: int, keys: np.ndarray, counts: np.ndarray, deal: np.ndarray, shards: int) -> list[tuple]:
+    return [(level, shard, chunk, squeeze(keys[at]), _narrow(counts[at])) for shard, at in deal_out(keys, deal, shards)]
+
+
 def word_packets(shards: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for _, row in frame.iterrows():
                 chunk = Chunk.read(row)
-                counts = chunk.unigrams()
-                for shard, at in deal_out(chunk.vocabulary, mix(chunk.vocabulary), shards):
-                    yield pd.DataFrame([(1, shard, row["chunk"], squeeze(chunk.vocabulary[at]), _narrow(counts[at]))], columns=["level", "shard", "chunk", "keys", "counts"])
+                made = _packets(1, row["chunk"], chunk.vocabulary, chunk.unigrams(), mix(chunk.vocabulary), shards)
+                yield pd.DataFrame(made, columns=["level", "shard", "chunk", "keys", "counts"])
 
     return run
 
@@ -285,8 +290,7 @@ def ngram_packets(order: int, shards: int, hot: np.ndarray):
                 chunk = Chunk.read(row)
                 for level in range(2, order + 1):
                     keys, counts, deal, _ = ngrams(chunk, level, hot)
-                    for shard, at in deal_out(keys, deal, shards):
-                        yield pd.DataFrame([(level, shard, row["chunk"], squeeze(keys[at]), _narrow(counts[at]))], columns=["level", "shard", "chunk", "keys", "counts"])
+                    yield pd.DataFrame(_packets(level, row["chunk"], keys, counts, deal, shards), columns=["level", "shard", "chunk", "keys", "counts"])
 
     return run
 
@@ -305,28 +309,26 @@ def _summed(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_shard(frame: pd.DataFrame) -> pd.DataFrame:
-    """Totals for every chunk's words, and a row (chunk -1) of the shard's words and totals' sum, largest words first."""
+    """Totals for every chunk's words; the number and sum of the shard's words; and its most frequent ones, of which at most HOT in a shard's share are hot."""
     keys, counts = _summed(frame)
-    rows = []
+    shard, rows = frame["shard"].iloc[0], []
     for _, r in frame.iterrows():
         wanted = expand(r["keys"], "<u8")
         at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
         found = np.where(keys[at] == wanted, counts[at], 0) if len(keys) else np.zeros(len(wanted), np.int64)
-        rows.append((1, r["shard"], r["chunk"], _narrow(found), None))
+        rows.append((1, shard, r["chunk"], _narrow(found), 0, 0))
+    rows.append((0, shard, -1, None, len(keys), int(counts.sum())))
     top = np.argsort(-counts, kind="stable")[: HOT * 64]
-    rows.append((0, frame["shard"].iloc[0], -1, np.array([counts.sum(), len(keys)], "<i8").tobytes(), keys[top].tobytes() + counts[top].astype("<i8").tobytes()))
-    return pd.DataFrame(rows, columns=["level", "shard", "chunk", "value", "extra"])
+    rows += [(-1, shard, -1, None, int(k), int(c)) for k, c in zip(keys[top].view(np.int64), counts[top])]
+    return pd.DataFrame(rows, columns=["level", "shard", "chunk", "value", "word", "times"])
 
 
-def ngram_shard(mu: float, hot: dict[int, int]):
+def ngram_shard(tokens: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         level = int(frame["level"].iloc[0])
-        trie = Trie(*_summed(frame), mu, hot if level == 2 else {})
-        rows = []
-        for _, r in frame.iterrows():
-            value, weight = trie.probe(expand(r["keys"], "<u8"))
-            rows.append((level, r["shard"], r["chunk"], value.tobytes(), weight.tobytes() if level > 2 else None))
-        return pd.DataFrame(rows, columns=["level", "shard", "chunk", "value", "extra"])
+        trie = Trie(*_summed(frame), tokens)
+        rows = [(level, r["shard"], r["chunk"], trie.probe(expand(r["keys"], "<u8")).tobytes(), 0, 0) for _, r in frame.iterrows()]
+        return pd.DataFrame(rows, columns=["level", "shard", "chunk", "value", "word", "times"])
 
     return run
 
@@ -350,21 +352,17 @@ def scorer(order: int, shards: int, mu: float, n: int, v: int, hot: np.ndarray):
             known = np.add.reduceat((own > 0).astype(np.int64), starts)
             begun = np.zeros(len(own), bool)
             begun[starts] = True
+            end = np.flatnonzero(chunk.vocabulary == END)
+            texts = count[end[0]] if len(end) else 0  # training texts: what begins one
             for level in range(2, order + 1):
                 keys, _, deal, number = ngrams(chunk, level, hot)
-                value, weight = np.zeros(len(keys), "<u2"), np.zeros(len(keys), "<u2")
+                value = np.zeros(len(keys), "<u2")
                 for shard, at in deal_out(keys, deal, shards):
                     value[at] = np.frombuffer(said[level, shard].value, "<u2")
-                    if level > 2:
-                        weight[at] = np.frombuffer(said[level, shard].extra, "<u2")
-                if level == 2:  # the context's count is that of the word before, or of training texts at a start
-                    total = np.r_[0, own[:-1]].astype(float)
-                    end = np.flatnonzero(chunk.vocabulary == END)
-                    total[begun] = count[end[0]] if len(end) else 0
-                    back = mu / (total + mu)
-                else:
-                    back = dequantise(weight)[number]
-                p = dequantise(value)[number] + back * p
+                total = np.r_[0, own[:-1]].astype(float)  # times of the context: of the shorter n-gram one token before
+                total[begun] = texts
+                own = np.rint(dequantise(value)[number] * n)
+                p = (own + mu * p) / (total + mu)
             score = np.add.reduceat(np.log10(p), starts)
             null = np.frombuffer(row["id_null"], "u1").astype(bool)
             ids = pd.array(np.frombuffer(row["ids"], "<i8").copy(), dtype="Int64")
@@ -375,24 +373,14 @@ def scorer(order: int, shards: int, mu: float, n: int, v: int, hot: np.ndarray):
     return run
 
 
-def totals(words: DataFrame, shards: int) -> tuple[int, int, dict[int, int]]:
-    """Training tokens, distinct ones, and the counts of hot words (at most HOT * shards) by their hashes.
+def totals(words: DataFrame, shards: int) -> tuple[int, int, np.ndarray]:
+    """Training tokens, distinct ones, and the hashes of hot words (at most HOT * shards)."""
+    n, v = words.where("level = 0").agg(F.coalesce(F.sum("times"), F.lit(0)), F.coalesce(F.sum("word"), F.lit(0))).first()
+    hot = words.where((F.col("level") == -1) & (F.col("times").cast("double") * HOT * shards > n)).select("word").collect()
+    return n, v, np.array([r[0] for r in hot], np.int64).view(_U)
 
-    Each shard has one row of sums with its HOT * 64 most frequent words at
-    most; the rows come to the driver one partition at a time.
-    """
-    n = v = 0
-    top: dict[int, int] = {}
-    for r in words.where("level = 0").select("value", "extra").toLocalIterator():
-        total, distinct = np.frombuffer(r["value"], "<i8")
-        n, v, half = n + int(total), v + int(distinct), len(r["extra"]) // 2
-        top |= dict(zip(np.frombuffer(r["extra"][:half], "<u8").tolist(), np.frombuffer(r["extra"][half:], "<i8").tolist()))
-        top = {k: c for k, c in top.items() if c * HOT * shards > n}  # n only grows: what is dropped can't become hot
-    top.pop(int(END), None)
-    return n, v, top
-
-
-def score(docs: DataFrame, held_out, *, order: int = 2, mu: float = 4.0, chunk_tokens: int = CHUNK_TOKENS, shards: int | None = None) -> DataFrame:
+
+def score(docs: DataFrame, held_out, *, order: int = ORDER, mu: float = 4.0, chunk_tokens: int = CHUNK_TOKENS, shards: int | None = None) -> DataFrame:
     """Scores of all documents by a model of those for which the column ``held_out`` is false."""
     own = pick(docs, doc_id="doc_id", text="text").withColumn("held_out", F.coalesce(held_out, F.lit(False)))
     shards = shards or pieces(source_bytes(docs), SHARD_BYTES)
@@ -400,11 +388,10 @@ def score(docs: DataFrame, held_out, *, order: int = 2, mu: float = 4.0, chunk_t
     # the answers are read twice: for the totals and by the chunks
     words = materialize(coded.mapInPandas(word_packets(shards), PACKET).groupBy("shard").applyInPandas(word_shard, ANSWER), "lm-words")
     n, v, hot = totals(words, shards)
-    hot_contexts = mix(np.array(list(hot), _U))  # a context of one word is the mix of its hash
-    shared = dict(zip((mix(hot_contexts) >> _U(32)).tolist(), hot.values()))
-    grams = coded.mapInPandas(ngram_packets(order, shards, hot_contexts), PACKET).groupBy("level", "shard").applyInPandas(ngram_shard(mu, shared), ANSWER)
+    grams = coded.mapInPandas(ngram_packets(order, shards, hot), PACKET).groupBy("level", "shard").applyInPandas(ngram_shard(n), ANSWER)
     answers = words.where("level = 1").unionByName(grams) if order > 1 else words.where("level = 1")
-    return coded.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(scorer(order, shards, mu, n, v, hot_contexts), SCORED)
+    answers = answers.select("level", "shard", "chunk", "value")
+    return coded.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(scorer(order, shards, mu, n, v, hot), SCORED)
 
 
 def is_held_out(doc_id):
@@ -413,4 +400,5 @@ def is_held_out(doc_id):
 
 
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; nulls, repeats and empty tables as the module states."""
     return score(table(spark, sf_dir, "documents"), is_held_out(F.col("doc_id")))
