@@ -36,6 +36,12 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return own.select(*[F.col(f"_c{df.columns.index(old)}").alias(new) for new, old in columns.items()])
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns named by number, so that no name can clash, and the number of each name (of its first column)."""
+    names = [f"_c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), {c: n for c, n in reversed(list(zip(df.columns, names)))}
+
+
 def ascii_lower(column):
     """Lower-case A-Z and nothing else."""
     return F.translate(column, UPPER, LOWER)

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, WORD_GAP, ascii_words, materialize, pick, row_key, table
+from .common import LOWER, UPPER, WORD_GAP, ascii_words, materialize, numbered, pick, row_key, table
 
 WINDOW = 10
 #: Words in a shingle; windows of fewer words are their own shingle.
@@ -64,8 +64,8 @@ def _token_at(k: int):
     return F.when(F.col("pos") + k <= F.size("words"), F.xxhash64(whole))
 
 
-def occurrences(docs: DataFrame, tokens: DataFrame, *, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Verified places of windows: document key, start, length, items. docs: doc_id, key, words."""
+def occurrences(docs: DataFrame, tokens: DataFrame, *, window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Verified places of windows of at most ``window`` words: document key, start, length, items. docs: doc_id, key, words."""
     known = tokens.groupBy("k").agg(F.count("*").alias("n")).collect()  # at most SHINGLE rows
     few = sum(r.n for r in known) <= broadcast_rows
     side = F.broadcast(tokens) if few else tokens
@@ -78,8 +78,8 @@ def occurrences(docs: DataFrame, tokens: DataFrame, *, broadcast_rows: int = BRO
             start = F.col("pos") - F.col("at")
             base = F.lit(0)
         else:  # rows are shuffled: carry the words a window can reach, not the document
-            base = F.greatest(F.lit(0), F.col("pos") - WINDOW)
-            own = own.select("doc_id", "key", "token", "pos", base.alias("base"), F.size("words").alias("n"), F.slice("words", base + 1, 2 * WINDOW + SHINGLE).alias("words"))
+            base = F.greatest(F.lit(0), F.col("pos") - window)
+            own = own.select("doc_id", "key", "token", "pos", base.alias("base"), F.size("words").alias("n"), F.slice("words", base + 1, 2 * window + SHINGLE).alias("words"))
             joined = own.join(side.where(F.col("k") == k), "token")
             start, base = F.col("pos") - F.col("at"), F.col("base")
         inside = start - base
@@ -93,7 +93,7 @@ def occurrences(docs: DataFrame, tokens: DataFrame, *, broadcast_rows: int = BRO
 def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated."""
     own = pick(docs, doc_id="doc_id", text="text").select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), ascii_words(F.col("text")).alias("words"))
-    hits = occurrences(own, prefix_tokens(benchmark_windows(benchmark, window)), broadcast_rows=broadcast_rows)
+    hits = occurrences(own, prefix_tokens(benchmark_windows(benchmark, window)), window=window, broadcast_rows=broadcast_rows)
     counts = own.select("doc_id", "key", F.size("words").cast("long").alias("n_words"))
     none = F.sha2(F.lit(""), 256)
     if hits is None:  # no benchmark
@@ -115,20 +115,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits and items of all documents; nulls, repeats and empty tables as the module states."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop every document with a benchmark window; the columns stay."""
-    own = docs.withColumn("_key", row_key(F.col("doc_id"), F.col("text")))
-    words = own.select("doc_id", F.col("_key").alias("key"), ascii_words(F.col("text")).alias("words"))
+    """Drop every row whose text holds a benchmark window; the columns stay, whatever their names.
+
+    Rows are told apart by the hash of id and text: equal rows go or stay
+    together. Null and empty texts stay; an empty benchmark drops nothing.
+    """
+    own, columns = numbered(docs)
+    key = row_key(own[columns["doc_id"]], own[columns["text"]])
+    words = own.select(F.col(columns["doc_id"]).alias("doc_id"), key.alias("key"), ascii_words(F.col(columns["text"])).alias("words"))
     hits = occurrences(words, prefix_tokens(benchmark_windows(table(spark, sf_dir, "benchmark"))))
     if hits is None:
         return docs
-    bad = materialize(hits.select(F.col("key").alias("_key")).distinct(), "contaminated")
+    bad = materialize(hits.select("key").distinct(), "contaminated")
     if bad.count() <= BROADCAST_ROWS:
         bad = F.broadcast(bad)
-    return own.join(bad, "_key", "left_anti").select(*docs.columns)
+    return own.withColumn("key", key).join(bad, "key", "left_anti").drop("key").toDF(*docs.columns)
 
 
 _SQL_WORDS = f"[x for x in regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD_GAP}') if x <> '']"

@@ -49,7 +49,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, pick, pieces, source_bytes, table, unique_join
+from .common import materialize, numbered, pick, pieces, source_bytes, table, unique_join
 from .components import components
 from .lm import CHUNK_TOKENS, SHARD_BYTES, Chunk, chunk_size, code, mix
 
@@ -529,10 +529,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = materialize(Join(docs).components().select("doc_id", "mark", "n_shingles", "first"), "join-found")
     drop = found.where("not first").select("doc_id", "mark").distinct()
     again = found.where("first and n_shingles > 0").groupBy("doc_id", "mark").count().where("count > 1").select("doc_id", "mark")
-    names = [f"_c{i}" for i in range(len(docs.columns))]  # columns may have any names
-    own = docs.toDF(*names)
-    id_, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
-    own = own.withColumns({"_id": id_, "_mark": text_mark(text)})
+    own, columns = numbered(docs)
+    names = own.columns
+    own = own.withColumns({"_id": F.col(columns["doc_id"]), "_mark": text_mark(F.col(columns["text"]))})
 
     def of(rows: DataFrame, how: str) -> DataFrame:
         few = rows.withColumnsRenamed({"doc_id": "_other", "mark": "_other_mark"})

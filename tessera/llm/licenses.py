@@ -6,7 +6,9 @@ template position) of its document and template. Phrases must stand whole: a
 diagonal with a vote from each k-gram of a phrase is a place of it. For the
 longer templates neighbouring diagonals (``NEIGHBOUR`` words apart at most,
 so that a few inserted or lost words do no harm) are merged, and a merged span
-is verified by the share of the template's k-grams it holds.
+is verified: its k-grams are read in the order of the words, and those that
+follow one another in the template too must be ``COVERAGE`` of its k-grams,
+with no more foreign words between the first and the last than may be missing.
 
 The templates are a fixed list in this module, so their k-grams are
 broadcast. A frequent license adds rows in proportion to its occurrences.
@@ -87,9 +89,17 @@ def scan(docs: DataFrame, *, phrases: dict[str, str] = PHRASES, templates: dict[
     gap = F.col("diagonal") - F.lag("diagonal").over(Window.partitionBy(*by).orderBy("diagonal"))
     new = F.when(F.col("phrase") | gap.isNull() | (gap > NEIGHBOUR), 1).otherwise(0)
     cluster = F.sum(new).over(Window.partitionBy(*by).orderBy("diagonal").rowsBetween(Window.unboundedPreceding, 0))
-    spans = lines.withColumn("cluster", cluster).groupBy(*by, "cluster").agg(F.min("diagonal").alias("start"), (F.size(F.array_distinct(F.flatten(F.collect_list("held")))) / F.col("grams")).alias("share"))
+    votes_ = F.flatten(F.collect_list(F.transform("held", lambda t: F.struct((t + F.col("diagonal")).alias("pos"), t.alias("tpos")))))
+    spans = lines.withColumn("cluster", cluster).groupBy(*by, "cluster").agg(F.min("diagonal").alias("start"), F.array_sort(votes_).alias("votes"))
+    # votes by word: those that go on in the template after the last one that did
+    read = F.aggregate(
+        "votes", F.struct(F.lit(0).alias("n"), F.lit(-1).alias("last")),
+        lambda a, v: F.when(v["tpos"] > a["last"], F.struct((a["n"] + 1).alias("n"), v["tpos"].alias("last"))).otherwise(a), lambda a: a["n"],
+    )
+    wide = F.element_at("votes", -1)["pos"] - F.get("votes", F.lit(0))["pos"] + GRAM
+    spans = spans.withColumns({"share": read / F.col("grams"), "whole": wide <= (2 - COVERAGE) * (F.col("grams") + GRAM - 1)})
     place = F.col("phrase") & (F.col("share") == 1)
-    named = place | (~F.col("phrase") & (F.col("share") >= F.when(F.col("grams") < SHORT, 1.0).otherwise(COVERAGE)))
+    named = place | (~F.col("phrase") & F.col("whole") & (F.col("share") >= F.when(F.col("grams") < SHORT, 1.0).otherwise(COVERAGE)))
     per = spans.groupBy("doc_id", "key").agg(
         F.count_if(place).alias("n_base"), F.min(F.when(place, F.col("start"))).cast("long").alias("first_word"), F.max(F.when(place, F.col("start"))).cast("long").alias("last_word"),
         F.array_join(F.array_sort(F.collect_set(F.when(place, F.col("label")))), ",").alias("base_labels"),
@@ -105,4 +115,5 @@ def scan(docs: DataFrame, *, phrases: dict[str, str] = PHRASES, templates: dict[
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places and labels of all documents; nulls, repeats and empty tables as the module states."""
     return scan(table(spark, sf_dir, "documents"))

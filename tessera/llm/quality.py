@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import gbt
-from .common import add_columns, keep_rows, pick, table
+from .common import add_columns, keep_rows, numbered, pick, table
 
 FEATURES = ("log_words", "word_length", "symbol_rate", "dup_line_rate", "repeat_rate", "upper_rate", "digit_rate", "punct_rate", "exclaim_rate", "distinct_rate", "line_length", "lone_symbol_rate")
 #: More of these never raises the probability of good quality.
@@ -81,10 +81,11 @@ def statistics(text: str) -> tuple[list[int], list[float]]:
 
 
 def sampled(docs: DataFrame, labels: DataFrame, label: str, size: int) -> DataFrame:
-    """Texts of at most ``size`` labelled documents, the first by the hash of the id."""
+    """Texts of at most ``size`` labelled rows, the first by the hash of the id; where ids repeat, by label and text."""
     known = pick(labels, doc_id="doc_id", label=label).where("doc_id is not null and label is not null")
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(size)
-    return pick(docs, doc_id="doc_id", text="text").join(F.broadcast(known), "doc_id").select("label", "text")
+    joined = pick(docs, doc_id="doc_id", text="text").join(F.broadcast(known), "doc_id")
+    return joined.orderBy(F.xxhash64("doc_id"), "doc_id", "label", F.xxhash64("text")).limit(size).select("label", "text")
 
 
 def learn(chosen: DataFrame, compute: Callable[[list[str | None]], dict], width: int, **how) -> tuple[gbt.Forest, np.ndarray, np.ndarray]:
@@ -131,11 +132,17 @@ def judge(docs: DataFrame, rules: QualityRules) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of all documents; nulls, repeats and empty tables as the module states."""
     docs = table(spark, sf_dir, "documents")
     return judge(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the rules reject; the columns stay."""
+    """Drop the rows that the rules reject; the columns stay, whatever their names.
+
+    Equal texts go or stay together, a null text is an empty one and goes;
+    without labels only the base rule decides.
+    """
     rules = train(docs, table(spark, sf_dir, "labels"))
-    return keep_rows(docs, lambda texts: rules.verdicts(texts)["kept"])
+    own, columns = numbered(docs)
+    return keep_rows(own, lambda texts: rules.verdicts(texts)["kept"], source=columns["text"]).toDF(*docs.columns)

@@ -2,13 +2,16 @@
 
 Three base patterns (an assignment to a sensitive word, an access key id, a
 long run of hex digits) are matched leftmost and without overlaps, each kind
-by itself. Beside them, the lexer cuts every line that holds ``=`` or ``:``
-into name-literal pairs (``name = "literal"``, ``"name": "literal"``,
-``name: literal``, ``export NAME=literal``), joins literals added with ``+``,
-propagates constants (a name assigned from another name takes its literal),
-and scores each literal by how sensitive the names are that it reaches and by
-its own randomness. Literals at or above ``threshold`` become spans of kind
-``literal``. Base spans always stay.
+by itself. Beside them, the lexer cuts the text into name-literal pairs
+(``name = "literal"``, ``"name": "literal"``, ``name: literal``, ``export
+NAME=literal``, triple-quoted strings, indented blocks after ``name: |``),
+with escapes, string prefixes and names and blanks of any length, and joins
+literals added with ``+``. Constants are propagated until nothing changes: a
+name assigned from another name takes the literal of its last assignment
+before, else of its first one after. Each literal is scored by how sensitive
+the names are that it reaches and by its own randomness. Literals at or above
+``threshold`` become spans of kind ``literal``. Base spans always stay. No
+quantifier gives anything back, so the time is in proportion to the text.
 
 Spans are counted in code points, the end exclusive. Defined results: a null
 text is empty; no spans give an empty string and the digest of an empty
@@ -20,12 +23,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add_columns, pick, table
+from .common import add_columns, numbered, pick, table
 
 KINDS = ("assign", "access", "hex", "literal")
 # The base patterns and their least lengths.
@@ -34,9 +38,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # as AKIA[A-Z0-9]+ of 16 or more: a s
 HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_LEAST = 8
 
+_DOUBLE = r'"(?:[^"\\\n]|\\.)*+"'
+_SINGLE = _DOUBLE.replace('"', "'")
+_LONG = r'"""(?:(?!""")[\s\S])*+"""'
+_STRING = rf"[rRbBuUfF]{{0,2}}+(?:{_DOUBLE}|{_SINGLE})"
+_BLOCK = r"[|>][+-]?[\x20\t]*+\n(?:[\x20\t]++[^\n]*+(?:\n|\Z))++"
 _PAIR = re.compile(
-    r"""(?:(?<![\w$.-])(?P<name>[A-Za-z_$][\w$.-]{0,127})|(?P<quoted>"[^"\n]{1,128}"|'[^'\n]{1,128}'))[\x20\t]{0,16}(?:=>|:=|[=:])(?![=:/])[\x20\t]{0,16}(?P<value>"[^"\n]*"(?:[\x20\t]*\+[\x20\t]*"[^"\n]*")*|'[^'\n]*'(?:[\x20\t]*\+[\x20\t]*'[^'\n]*')*|[^\s"',;(){}\[\]]+)"""
+    rf"(?:(?<![\w$.-])(?P<name>[A-Za-z_$][\w$.-]*+)|(?<!\\)(?P<quoted>{_DOUBLE}|{_SINGLE}))"
+    rf"[\x20\t]*+(?:=>|:=|[=:])(?![=:/])[\x20\t]*+"
+    rf"(?P<value>{_LONG}|{_LONG.replace(chr(34), chr(39))}|{_STRING}(?:[\x20\t]*+\+[\x20\t]*+{_STRING})*+|{_BLOCK}|" + r"""[^\s"',;(){}\[\]]++)"""
 )
+_QUOTED = re.compile(_STRING)
 _NAME = re.compile(r"[A-Za-z_$][\w$.]*\Z")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 #: How sensitive the parts of a name make its literal.
@@ -61,35 +73,60 @@ def randomness(literal: str) -> float:
     return min(1.0, bits / 4) * (0.5 if mixed < 2 else 1.0)
 
 
-def name_literal_pairs(text: str) -> list[tuple[str, str, int, int]]:
-    """(name, literal or name, start, end) of every assignment; the span is the literal without its quotes."""
+def name_literal_pairs(text: str) -> list[tuple[str, str, int, int, bool]]:
+    """(name, literal or name, start, end, bare) of every assignment; the span is the literal without its quotes."""
     found = []
     for m in _PAIR.finditer(text):
         name = m["name"] or m["quoted"][1:-1]
         value, start, end = m["value"], m.start("value"), m.end("value")
-        if value[0] in "\"'":
-            literal = "".join(re.findall(r"\"([^\"\n]*)\"|'([^'\n]*)'", value) and [a or b for a, b in re.findall(r"\"([^\"\n]*)\"|'([^'\n]*)'", value)])
-            start, end = start + 1, end - 1
+        bare = False
+        if value[:3] in ('"' * 3, "'" * 3) and len(value) >= 6:
+            literal, start, end = value[3:-3], start + 3, end - 3
+        elif value[0] in "|>" and "\n" in value:  # an indented block
+            lines = value.split("\n")[1:]
+            literal = "".join(x.strip() for x in lines)
+            body = value.index("\n") + 1
+            start, end = start + body + len(value[body:]) - len(value[body:].lstrip()), start + len(value.rstrip())
+        elif value[-1] in "\"'" and _QUOTED.match(value):
+            parts = [p.lstrip("rRbBuUfF")[1:-1] for p in _QUOTED.findall(value)]
+            literal, start, end = "".join(parts), start + len(value) - len(value.lstrip("rRbBuUfF")) + 1, end - 1
         else:
-            literal = value
+            literal, bare = value, True
         if end > start:
-            found.append((name, literal, start, end))
+            found.append((name, literal, start, end, bare))
     return found
 
 
+def origins(pairs: list[tuple[str, str, int, int, bool]]) -> list[int]:
+    """For each pair the pair that its literal comes from, by way of names; a loop of names ends where it began."""
+    places: dict[str, list[int]] = {}
+    for i, pair in enumerate(pairs):
+        places.setdefault(pair[0], []).append(i)
+    out = [-1] * len(pairs)
+    for i in range(len(pairs)):
+        path, at = [], i
+        on = set()
+        while out[at] < 0 and at not in on:
+            path.append(at)
+            on.add(at)
+            _, value, _, _, bare = pairs[at]
+            known = places.get(value) if bare and _NAME.match(value) else None
+            if known:
+                k = bisect_left(known, at)
+                at = known[k - 1] if k else next((j for j in known if j != at), at)
+        end = out[at] if out[at] >= 0 else at
+        for j in path:
+            out[j] = end
+    return out
+
+
 def literals(text: str, threshold: float) -> list[tuple[int, int]]:
     """Spans of the literals that reach a sensitive name, by itself or through other names, and look random."""
-    origin: dict[str, tuple[str, int, int]] = {}
-    score: dict[tuple[int, int], float] = {}
-    text_of: dict[tuple[int, int], str] = {}
-    for name, value, start, end in name_literal_pairs(text):
-        if text[start - 1] not in "\"'" and _NAME.match(value) and value in origin:
-            value, start, end = origin[value]
-        origin[name] = (value, start, end)
-        span = (start, end)
-        text_of[span] = value
-        score[span] = max(score.get(span, 0.0), sensitivity(name))
-    return sorted(s for s, weight in score.items() if weight and weight * randomness(text_of[s]) >= threshold)
+    pairs = name_literal_pairs(text)
+    score: dict[int, float] = {}
+    for pair, end in zip(pairs, origins(pairs)):
+        score[end] = max(score.get(end, 0.0), sensitivity(pair[0]))
+    return sorted({(pairs[i][2], pairs[i][3]) for i, weight in score.items() if weight and weight * randomness(pairs[i][1]) >= threshold})
 
 
 def scan(text: str | None, threshold: float = 0.45) -> list[tuple[int, int, str]]:
@@ -138,11 +175,18 @@ def redact(text: str | None, mask: str = "[SECRET]") -> str | None:
 
 
 def redaction_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span is masked in ``text``, and ``n_chars`` follows; no document goes."""
-    masked = add_columns(docs.withColumn("_text", F.col("text")), lambda texts: {"_new": [redact(t) for t in texts]}, "_new string", source="_text")
-    fresh = {"text": F.col("_new"), "n_chars": F.when(F.col("_new").isNotNull(), F.char_length("_new").cast("long"))}
-    return masked.select(*[fresh[c].alias(c) if c in fresh else F.col(c) for c in docs.columns])
+    """Every span is masked in ``text``, and ``n_chars`` follows where there is one; no row goes and the columns stay, whatever their names.
+
+    Null texts stay null, empty ones empty; equal rows are masked alike.
+    """
+    own, columns = numbered(docs)
+    masked = add_columns(own.withColumn("text", F.col(columns["text"])), lambda texts: {"new": [redact(t) for t in texts]}, "new string")
+    fresh = {columns["text"]: F.col("new")}
+    if "n_chars" in columns:
+        fresh[columns["n_chars"]] = F.char_length("new").cast(docs.schema["n_chars"].dataType)
+    return masked.select(*[fresh.get(c, F.col(c)).alias(c) for c in own.columns]).toDF(*docs.columns)
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of all documents; nulls, repeats and empty tables as the module states."""
     return find_secrets(table(spark, sf_dir, "documents"))

@@ -6,7 +6,7 @@ judged by probing all the rule keys that could fit it (each suffix of its
 host that starts at a label, with each rule path length that occurs) with one
 vectorised binary search per batch; every hit is confirmed against the stored
 string, so a collision of digests never decides. The longest fitting rule
-wins: the longest host, then the longest path.
+wins, counted over host and path; of equally long ones that with the longer host.
 
 The compiled list travels to the executors as one broadcast of proven size
 (``MAX_RULE_BYTES``; a longer list is refused and must be split by host
@@ -123,7 +123,7 @@ class DigestArray:
             at = 0
             while host:
                 suffix = host[at:]
-                for n in self._lengths:  # longest host first, then longest path
+                for n in self._lengths:
                     if n <= len(path):
                         owner.append(i)
                         probe.append(digest(suffix, path[:n]))
@@ -138,13 +138,14 @@ class DigestArray:
             wanted = np.array(probe, np.uint64)
             at = np.searchsorted(keys, wanted)
             hits = np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == wanted)
-            for k in hits[::-1]:  # the first probe that is confirmed is the longest and is written last
-                j = at[k]
-                while j < len(keys) and keys[j] == wanted[k]:
+            best = [(0, 0)] * len(urls)
+            for k in hits:
+                j, (suffix, prefix) = at[k], said[k]
+                size = (len(suffix) + len(prefix), len(suffix))
+                while size > best[owner[k]] and j < len(keys) and keys[j] == wanted[k]:
                     host, path, text, said_verdict = self.rule_at(j)
-                    if (host, path) == said[k]:
-                        rule[owner[k]], verdict[owner[k]] = text, said_verdict
-                        break
+                    if (host, path) == (suffix, prefix):
+                        rule[owner[k]], verdict[owner[k]], best[owner[k]] = text, said_verdict, size
                     j += 1
         return {"host": [p[0] for p in parts], "path": [p[1] for p in parts], "rule": rule, "verdict": verdict}
 
@@ -157,6 +158,7 @@ def judge_urls(pages: DataFrame, rules, *, id_column: str = "page_id", url_colum
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every url; nulls, repeats and empty tables as the module states."""
     return judge_urls(table(spark, sf_dir, "pages"), RULES)
 
 
@@ -170,7 +172,7 @@ with cut as (
   from cut
 ), ruled as (
   select page_id, host, path, case
-{chr(10).join(f"    when {_WHERE.format(h=r.host, p=r.path)} then '{r.text}'" for r in sorted(RULES, key=lambda r: (-len(r.host), -len(r.path))))}
+{chr(10).join(f"    when {_WHERE.format(h=r.host, p=r.path)} then '{r.text}'" for r in sorted(RULES, key=lambda r: (-len(r.host) - len(r.path), -len(r.host))))}
   end as rule from split
 )
 select page_id, host, path, rule, case {" ".join(f"when rule = '{r.text}' then '{r.verdict}'" for r in RULES)} else 'allow' end as verdict

@@ -99,6 +99,93 @@ def test_secrets_keep_the_base_spans_and_follow_names(spark):
     assert secrets.find_secrets(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "my_secret" + " " * 20 + '= "zX9$kQ2vLm8T"', "a" * 140 + '_token = "zX9$kQ2vLm8T"', 'db_password = "zX9$k\\"Q2vLm8T"', 'api_secret = raw\nraw = "zX9$kQ2vLm8T"', "secret_key: |\n  zX9$kQ2vLm8T\nother: 1",
+        'auth_token = """zX9$kQ2vLm8T"""', 'client_secret = f"zX9$k" + "Q2vLm8T"', '"' + "k" * 130 + 'Password": "zX9$kQ2vLm8T"', 'c = b\nb = a\na = "zX9$kQ2vLm8T"\nuser_password = c',
+    ],
+)
+def test_literals_of_sensitive_names(text):
+    spans = [text[a:b] for a, b, k in secrets.scan(text) if k == "literal"]
+    assert len(spans) == 1 and spans[0].startswith("zX9$k") and spans[0].endswith("Q2vLm8T")
+    assert "Q2vLm8T" not in secrets.redact(text)
+
+
+def test_origins_equal_a_slow_walk():
+    import random
+
+    dice = random.Random(3)
+    for _ in range(300):
+        names = [dice.choice("abcdef") for _ in range(dice.randrange(1, 12))]
+        pairs = [(n, *((dice.choice("abcdefg"), 0, 1, True) if dice.random() < 0.7 else ("lit", 0, 1, False))) for n in names]
+
+        def step(i, pairs=pairs):
+            same = [j for j, p in enumerate(pairs) if p[0] == pairs[i][1] and j != i] if pairs[i][4] else []
+            return max((j for j in same if j < i), default=min(same, default=i))
+
+        for i, end in enumerate(secrets.origins(pairs)):
+            seen, at = [], i
+            while at not in seen:
+                seen.append(at)
+                at = step(at)
+            assert end in seen[seen.index(at) :]  # the end, or any pair of the loop
+
+
+def test_secrets_take_time_in_proportion():
+    import time
+
+    for text in ('"' + '\\"' * 200_000, "a" * 400_000 + " " * 400_000, "x=" * 200_000, "'" * 400_000, 'a = """' * 50_000):
+        began = time.time()
+        secrets.literals(text, 0.45)
+        assert time.time() - began < 20
+
+
+def test_stages_take_any_columns(spark, tmp_path):
+    import math
+
+    rows = [(r[0], r[1], 1, "x", 2.0, "y") for r in edge_docs()]
+    own = spark.createDataFrame(rows, "doc_id long, text string, _new int, TEXT string, _key double, new string")
+    base = edge_docs()[0][1].split()
+    spark.createDataFrame([(1, " ".join(base[10:30]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    def texts(df):
+        assert df.columns == own.columns
+        return sorted(((r[0], r[1]) for r in df.collect()), key=repr)
+
+    def plain(keep, change=lambda t: t):
+        return sorted(((r[0], change(r[1])) for r in rows if keep(r[1])), key=repr)
+
+    def failed(text):
+        n, hit = len((text or "").encode().split()), quality.statistics(text or "")[0][4]
+        return n < 20 or 100 * hit > 30 * n
+
+    wanted = ascii_words(" ".join(base[10:30]))
+    windows = {tuple(wanted[i : i + 10]) for i in range(11)}
+    leaks = lambda t: any(tuple(ascii_words(t)[i : i + 10]) in windows for i in range(len(ascii_words(t))))
+    assert texts(quality.quality_stage(spark, own, str(tmp_path))) == plain(lambda t: not failed(t))
+    assert texts(decontaminate.decontamination_stage(spark, own, str(tmp_path))) == plain(lambda t: not leaks(t))
+    assert texts(secrets.redaction_stage(spark, own, str(tmp_path))) == plain(lambda t: True, secrets.redact)
+    for stage in (quality.quality_stage, decontaminate.decontamination_stage, secrets.redaction_stage):
+        assert stage(spark, own.limit(0), str(tmp_path)).count() == 0
+    pieces = packing.packing_stage(spark, own, str(tmp_path))
+    assert pieces.select("doc_id").distinct().count() == len({r[0] for r in rows}) and math.log2(pieces.agg(F.sum("length")).first()[0]) > 1
+
+
+def test_pipeline_equals_its_stages_on_plain_rows(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    base = edge_docs()[13][1].split()
+    spark.createDataFrame([(1, " ".join(base[5:15]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = corpus_pipeline.run(spark, str(tmp_path))
+    # kept by the base rule: long texts without repeats; of 0, 1, 2, 3 and the rows without an id or with id 0 again one stays; 13 holds the benchmark item
+    kept = {r.doc_id for r in found.collect()}
+    long = {r[0] for r in edge_docs() if not (lambda s: s[0] < 20 or 100 * s[4] > 30 * s[0])(quality.statistics(r[1] or "")[0])}
+    assert kept == {i for i in long if i not in (1, 2, 3, 13, None)}
+
+
 def test_urls_by_digest_equal_plain_rules(spark):
     urls = [None, "", "no scheme", "http://A.Example.NET/en/x?y", "http://example.net", "http://badexample.net/en/", "https://x.org/fr", "https://x.org/fr/#a/b", "ftp://net/", "http://example.com/de/?q", "a://b://c.net/", "http://example.com?/de/"]
     pages = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls)], "page_id long, url string, rule int")
@@ -111,12 +198,14 @@ def test_urls_by_digest_equal_plain_rules(spark):
         path = re.match(r"[^?#]*", rest[len(host) :])[0]
         host = lowered(host).decode()
         fits = [r for r in url_filter.RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
-        best = max(fits, key=lambda r: (len(r.host), len(r.path)), default=None)
+        best = max(fits, key=lambda r: (len(r.host) + len(r.path), len(r.host)), default=None)
         return host, path, best and best.text, best.verdict if best else "allow"
 
     found = url_filter.judge_urls(pages, url_filter.RULES)
     assert by_row(found, "page_id", "host", "path", "rule", "verdict") == sorted(((i, *plain(u)) for i, u in enumerate(urls)), key=repr)
     assert url_filter.judge_urls(pages.limit(0), []).count() == 0
+    longer = url_filter.DigestArray([url_filter.Rule("x.net/", "block"), url_filter.Rule("net/abc/d", "allow")])
+    assert longer.judge(["http://x.net/abc/d", "http://x.net/abc"], "allow")["rule"] == ["net/abc/d", "x.net/"]
     clash = url_filter.DigestArray(url_filter.RULES)
     original = url_filter.digest
     try:
@@ -152,6 +241,8 @@ def test_contamination_equals_plain_windows(spark, few):
     columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert by_row(found, *columns) == sorted(((r[0], *plain(r[1])) for r in rows), key=repr)
     assert decontaminate.contamination(docs(spark, []), bench).count() == 0
+    wide = spark.createDataFrame([(1, " ".join(base[10:90]))], "item_id long, text string")
+    assert decontaminate.contamination(docs(spark), wide, window=30, broadcast_rows=10**6 if few else 0).agg(F.sum("n_hit")).first()[0] == 5 * 80 + 79  # one text has another word in the middle
     assert decontaminate.contamination(docs(spark), bench.limit(0)).where("contaminated").count() == 0
 
 
@@ -173,6 +264,8 @@ def test_licenses_equal_plain_phrases(spark):
     one = licenses.scan(docs(spark, [(1, "x " + grant, "", "", 0, 0.0, ""), (2, " ".join(grant.split()[:9]), "", "", 0, 0.0, "")])).orderBy("doc_id").collect()
     assert [r.labels for r in one] == ["mit", ""] and 0 < one[1].score < 0.6 <= one[0].score
     assert licenses.scan(docs(spark, [])).count() == 0
+    turned = " ".join(licenses.TEMPLATES["gpl"].split()[i] for k in range(0, 28, 4) for i in range(24 - k, 28 - k))  # the same k-grams in another order
+    assert [r.labels for r in licenses.scan(docs(spark, [(1, turned, "", "", 0, 0.0, "")])).collect()] == [""]
 
 
 def test_packing_is_a_round_trip_without_padding(spark):
