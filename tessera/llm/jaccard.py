@@ -60,7 +60,7 @@ BAND = 1.5
 #: A signature group of more members is frequent.
 FREQUENT = 32
 #: Lowest signatures of a set that are matched first.
-LOWEST = 8
+LOWEST = 4
 #: A signature is counted if so many sets of a chunk have it, and is hot if HOT_LEAST sets and 1 / HOT of all have it.
 OFTEN, HOT_LEAST, HOT = 4, 1024, 256
 #: Members of a group that are compared in one task.
@@ -432,9 +432,10 @@ class Join:
 
     def lowest(self) -> DataFrame:
         """Pairs of each set with the smallest set that shares one of its lowest signatures (a star, not all pairs)."""
-        each = self.reps.select("uid", F.explode("low").alias("signature"))
-        hubs = each.groupBy("signature").agg(F.min("uid").alias("a"), F.count("*").alias("size")).where("size > 1").drop("size")
-        return each.join(hubs, "signature").where("uid <> a").select("a", F.col("uid").alias("b")).distinct()
+        each = self.reps.select("uid", "n", F.explode("low").alias("signature"))
+        hubs = each.groupBy("signature").agg(F.min(F.struct("uid", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1").select(F.col("signature").alias("s"), F.col("hub.uid").alias("a"), F.col("hub.n").alias("m"))
+        near = 100 * F.least("n", "m") >= self.percent * F.greatest("n", "m")
+        return each.join(hubs, (F.col("signature") == F.col("s")) & (F.col("uid") != F.col("a")) & near).select("a", F.col("uid").alias("b")).distinct()
 
     def hot(self) -> np.ndarray:
         """Signatures of a large share of all sets, as counted where they are frequent; at most HOT times the signatures of a set."""

@@ -20,7 +20,7 @@ machine:
 4. Chunks meet their answers and score whole texts, from the shortest context
    to the longest. How often a context of n - 1 words was continued is the
    count of the n-1-gram one token before, so no context is counted by itself
-   and contexts that share a 32-bit hash are not added up.
+   and contexts whose hashes meet are not added up.
 
 n-grams are counted within their chunk before they are sent. Contexts are
 dealt to shards by hash; those that end with a word of more than a share of
@@ -53,7 +53,11 @@ from .common import UPPER, materialize, pick, pieces, source_bytes, table
 from .elias_fano import EliasFano, mapped
 
 ORDER = 3
+#: Bits of the hash of a context, and of that of a word, that tell n-grams apart within a shard; a shard has about two million of them at any size of the input.
+PART = 28
 CHUNK_TOKENS = 500_000
+#: Tokens of a chunk of the model: the more, the fewer distinct n-grams are sent.
+MODEL_TOKENS = 2_000_000
 SHARD_BYTES = 8 << 20
 #: A word is hot if it is more than 1 / (HOT * shards) of all tokens.
 HOT = 4
@@ -87,27 +91,27 @@ class Trie:
     """One shard's contexts and followers; ``value`` holds the quantised share of each n-gram in all tokens."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, tokens: int):
-        """keys: sorted, context << 32 | follower, with their counts."""
-        context = keys >> _U(32)
+        """keys: sorted, context << PART | follower, with their counts."""
+        context = keys >> _U(PART)
         first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(keys) else np.zeros(0, np.int64)
         own = context[first]
         size = np.diff(np.r_[first, len(keys)])
-        self.contexts = EliasFano(own, 1 << 32)
+        self.contexts = EliasFano(own, 1 << PART)
         self.pointers = EliasFano(np.r_[first, len(keys)], len(keys) + 1)
         number = np.repeat(np.arange(len(own), dtype=_U), size)
-        self.followers = EliasFano(number << _U(32) | keys & _U(0xFFFFFFFF), max(1, len(own)) << 32)
+        self.followers = EliasFano(number << _U(PART) | keys & _U((1 << PART) - 1), max(1, len(own)) << PART)
         self.value = mapped(quantise(counts / max(1, tokens)))
 
     def probe(self, keys: np.ndarray) -> np.ndarray:
         """Codes of each n-gram's share, 0 if unseen."""
         keys = np.asarray(keys, _U)
         value = np.zeros(len(keys), "<u2")
-        context = self.contexts.find(keys >> _U(32))
+        context = self.contexts.find(keys >> _U(PART))
         known = np.flatnonzero(context >= 0)
         if len(known):
             c = context[known]
             low, high = self.pointers.get(c).astype(np.int64), self.pointers.get(c + 1).astype(np.int64)
-            at = self.followers.find(c.astype(_U) << _U(32) | keys[known] & _U(0xFFFFFFFF), low, high)
+            at = self.followers.find(c.astype(_U) << _U(PART) | keys[known] & _U((1 << PART) - 1), low, high)
             value[known[at >= 0]] = self.value[at[at >= 0]]
         return value
 
@@ -233,9 +237,9 @@ ANSWER = "level int, shard long, chunk long, value binary, word long, times long
 
 
 def ngrams(chunk: Chunk, level: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The chunk's distinct n-grams: keys (context << 32 | next), training counts, places (hashes to deal by), and each token's n-gram."""
+    """The chunk's distinct n-grams: keys (context << PART | next), training counts, places (hashes to deal by), and each token's n-gram."""
     context, last, own = chunk.hashes(level)
-    key = mix(context) >> _U(32) << _U(32) | mix(own) >> _U(32)
+    key = mix(context) >> _U(64 - PART) << _U(PART) | mix(own) >> _U(64 - PART)
     spread = (last == START) | np.isin(last, hot)
     deal = np.where(spread, mix(context + mix(own)), mix(context ^ _U(level)))
     order = np.argsort(key, kind="stable")
@@ -261,11 +265,11 @@ def deal_out(keys: np.ndarray, deal: np.ndarray, shards: int) -> Iterator[tuple[
 def _narrow(counts: np.ndarray) -> bytes:
     """Counts in the least of four widths, told by the first byte."""
     kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if not len(counts) or counts.max() <= np.iinfo(k).max)
-    return bytes([int(kind[2])]) + counts.astype(kind).tobytes()
+    return bytes([int(kind[2])]) + squeeze(counts.astype(kind))
 
 
 def _wide(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+    return expand(data[1:], f"<u{data[0]}").astype(np.int64)
 
 
 def _packets(level: int, chunk: int, keys: np.ndarray, counts: np.ndarray, deal: np.ndarray, shards: int) -> list[tuple]:
@@ -327,7 +331,7 @@ def ngram_shard(tokens: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         level = int(frame["level"].iloc[0])
         trie = Trie(*_summed(frame), tokens)
-        rows = [(level, r["shard"], r["chunk"], trie.probe(expand(r["keys"], "<u8")).tobytes(), 0, 0) for _, r in frame.iterrows()]
+        rows = [(level, r["shard"], r["chunk"], squeeze(trie.probe(expand(r["keys"], "<u8"))), 0, 0) for _, r in frame.iterrows()]
         return pd.DataFrame(rows, columns=["level", "shard", "chunk", "value", "word", "times"])
 
     return run
@@ -358,7 +362,7 @@ def scorer(order: int, shards: int, mu: float, n: int, v: int, hot: np.ndarray):
                 keys, _, deal, number = ngrams(chunk, level, hot)
                 value = np.zeros(len(keys), "<u2")
                 for shard, at in deal_out(keys, deal, shards):
-                    value[at] = np.frombuffer(said[level, shard].value, "<u2")
+                    value[at] = expand(said[level, shard].value, "<u2")
                 total = np.r_[0, own[:-1]].astype(float)  # times of the context: of the shorter n-gram one token before
                 total[begun] = texts
                 own = np.rint(dequantise(value)[number] * n)
@@ -380,7 +384,7 @@ def totals(words: DataFrame, shards: int) -> tuple[int, int, np.ndarray]:
     return n, v, np.array([r[0] for r in hot], np.int64).view(_U)
 
 
-def score(docs: DataFrame, held_out, *, order: int = ORDER, mu: float = 4.0, chunk_tokens: int = CHUNK_TOKENS, shards: int | None = None) -> DataFrame:
+def score(docs: DataFrame, held_out, *, order: int = ORDER, mu: float = 4.0, chunk_tokens: int = MODEL_TOKENS, shards: int | None = None) -> DataFrame:
     """Scores of all documents by a model of those for which the column ``held_out`` is false."""
     own = pick(docs, doc_id="doc_id", text="text").withColumn("held_out", F.coalesce(held_out, F.lit(False)))
     shards = shards or pieces(source_bytes(docs), SHARD_BYTES)
