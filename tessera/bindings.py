@@ -108,7 +108,7 @@ class Tables:
     def entry_points(self) -> DataFrame:
         """Ways in: events of five kinds, placed in modules."""
         n = self.raw("part").select(F.count("*").alias("n"))
-        e = self.raw("events").where("event_id % 3 = 0").crossJoin(F.broadcast(n))  # one row
+        e = self.raw("events").crossJoin(F.broadcast(n))  # one row
         return e.select((F.col("event_id") % F.col("n")).alias("k"), "event_id", "user_id", "event_type").join(self.modules.select("k", "module"), "k").select(
             F.col("event_id").alias("ord"), F.col("event_type").alias("kind"), "module", F.concat(F.lit("e"), "event_id").alias("name"), F.concat(F.lit("t"), F.col("user_id") % 40).alias("target"), "user_id")
 
@@ -163,7 +163,7 @@ claims as (
   select a.id as src, b.id as dst, a.id || '->' || b.id as key, a.pos * 10000 + b.pos as pos, case when (a.pos + b.pos) % 3 = 0 then 'data' else 'control' end as kind, case when (a.pos + b.pos) % 4 = 0 then '' else 'sends to ' || b.id end as relation
   from components a join components b on (a.pos * 3 + b.pos * 5) % 11 = 0 where a.id <> b.id
 ), entry_points as (
-  select event_id as ord, event_type as kind, module, 'e' || event_id as name, 't' || (user_id % 40) as target, user_id from events join modules on k = event_id % (select count(*) from part) where event_id % 3 = 0
+  select event_id as ord, event_type as kind, module, 'e' || event_id as name, 't' || (user_id % 40) as target, user_id from (select *, event_id % n as spot from events, (select count(*) as n from part)) join modules on k = spot
 ), maps as (
   select '' as map_id, cast(null as varchar) as parent_id, 0 as level union all select lower(r_name), '', 1 from region union all select lower(r_name) || '/' || lower(n_name), lower(r_name), 2 from nation join region on n_regionkey = r_regionkey
 ), scores as (

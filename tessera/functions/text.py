@@ -48,9 +48,9 @@ def text_digest(text):
     return F.sha2(F.regexp_replace(text, "\r\n?", "\n"), 256)
 
 
-def entry_identity(kind, module, name, target):
+def entry_identity(kind, module, target, name):
     """The JSON array of the four fields that identify a way in."""
-    return F.to_json(F.array(*[F.coalesce(c, F.lit("")) for c in (kind, module, name, target)]))
+    return F.to_json(F.array(*[F.coalesce(c, F.lit("")) for c in (kind, module, target, name)]))
 
 
 def module_of(path, root: str = ""):

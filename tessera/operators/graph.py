@@ -7,6 +7,7 @@ does not grow and a lost executor repeats one round at most.
 from __future__ import annotations
 
 import tempfile
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,11 +48,11 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, keep=None) -> tuple[
     return seen, hops
 
 
-def reach(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def reach(edges: DataFrame) -> DataFrame:
     """Transitive closure (src, dst) of at least one step, by doubling; for graphs of components, not of modules."""
     found = cut(edges.select("src", "dst").distinct())
     size = found.count()
-    for _ in range(max_rounds):
+    while True:
         step = found.select(F.col("src").alias("mid0"), F.col("dst").alias("end"))
         found = cut(found.unionByName(found.join(step, found.dst == step.mid0).select("src", F.col("end").alias("dst"))).distinct())
         now = found.count()
@@ -76,11 +77,11 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
     return nodes.join(least, "node", "left").select("node", F.least("node", F.coalesce("least", "node")).alias("component"))
 
 
-def connected(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): the smallest name of the nodes joined by edges in either direction."""
     both = cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     labels = cut(nodes.select("node").distinct().withColumn("component", F.col("node")))
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels.select(F.col("node").alias("src"), F.col("component").alias("c")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("c"))
         step = labels.join(near, "node", "left").select("node", F.least("component", F.coalesce("c", "component")).alias("component"), F.col("component").alias("before"))
         jump = step.select(F.col("node").alias("j"), F.col("component").alias("far"))
@@ -93,23 +94,25 @@ def connected(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataF
     return labels
 
 
-def ancestors_of(parents: DataFrame, max_levels: int = 16) -> DataFrame:
-    """(node, ancestor, distance) for rows (node, parent), the node itself at distance 0."""
+def ancestors_of(parents: DataFrame) -> DataFrame:
+    """(node, ancestor, distance) for rows (node, parent), the node itself at distance 0; a loop of parents is an error."""
     found = parents.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance"))
     last = found
     up = parents.where("parent is not null").select(F.col("node").alias("ancestor"), "parent")
-    for distance in range(1, max_levels + 1):
+    for distance in count(1):
         last = cut(last.join(up, "ancestor").select("node", F.col("parent").alias("ancestor"), F.lit(distance).alias("distance")))
         if last.isEmpty():
             break
+        if not last.where("node = ancestor").isEmpty():
+            raise ValueError("the parents form a loop")
         found = found.unionByName(last)
     return found
 
 
-def follow(links: DataFrame, max_rounds: int = 32) -> DataFrame:
-    """(node, end): the end of each chain of (node, next), by pointer jumping; null if the chain is a loop."""
+def follow(links: DataFrame, doublings: int = 64) -> DataFrame:
+    """(node, end): the end of each chain of (node, next), by pointer jumping (each round doubles the links followed, 2**64 in all); null if the chain is a loop."""
     now = cut(links.select("node", F.col("next").alias("end")))
-    for _ in range(max_rounds):
+    for _ in range(doublings):
         hop = now.select(F.col("node").alias("n"), F.col("end").alias("far"))
         after = cut(now.join(hop, now.end == hop.n, "left").select("node", "end", "far"))
         done = after.where("far is not null and far <> end").isEmpty()

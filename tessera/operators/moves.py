@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from .diff import jaccard
 
+# The least similarity of names and surfaces, and the three answers.
 NAME_ALIKE = 0.6
 SURFACE_OVERLAP = 0.8
 HOW = ("same content", "same public names", "the same file name and most of the same public names")
@@ -54,7 +55,7 @@ def candidates(gone: DataFrame, new: DataFrame) -> DataFrame:
     return scored.select("old", "cand", "rank", _common(F.col("fa"), F.col("fb"), True).alias("tail"), F.floor(F.col("alike") * 1000).alias("ratio"), _common(F.col("fa"), F.col("fb"), False).alias("head"))
 
 
-def find(gone: DataFrame, new: DataFrame, max_rounds: int = 200) -> DataFrame:
+def find(gone: DataFrame, new: DataFrame) -> DataFrame:
     """(old, new, how): the greedy assignment in order of rank, tail, ratio, head and names.
 
     Greedy choice in one total order equals taking, round after round, every
@@ -65,7 +66,7 @@ def find(gone: DataFrame, new: DataFrame, max_rounds: int = 200) -> DataFrame:
     order = F.struct("rank", (-F.col("tail")).alias("t"), (-F.col("ratio")).alias("r"), (-F.col("head")).alias("h"), "old", "cand")
     left = cut(candidates(gone, new).select("old", "cand", order.alias("o")).groupBy("old", "cand").agg(F.min("o").alias("o")))
     found = None
-    for _ in range(max_rounds):
+    while True:  # each round takes a pair at least
         best_old = left.groupBy("old").agg(F.min("o").alias("o"))
         best_new = left.groupBy("cand").agg(F.min("o").alias("o"))
         taken = cut(best_old.join(best_new, "o").select("old", "cand", F.col("o.rank").alias("rank")))

@@ -75,17 +75,17 @@ def reexport_ends(x: Tables) -> DataFrame:
     return graph.follow(x.modules.select(k.alias("node"), nxt.alias("next"))).select("node", F.coalesce("end", F.lit(-1)).alias("end"))
 
 
-@query("select (k - 1) // 2 as parent, k as commit, least(k % 8, 7) as lane from modules where k > 0 and k < 64", 40, 41, 189)
+@query("select (k - 1) // 2 as parent, k as commit, least(k % 8, 7) as lane from modules where k > 0", 41, 189)
 def commit_parents(x: Tables) -> DataFrame:
-    return x.modules.where("k > 0 and k < 64").select(F.floor((F.col("k") - 1) / 2).alias("parent"), F.col("k").alias("commit"), F.least(F.col("k") % 8, F.lit(7)).alias("lane"))
+    return x.modules.where("k > 0").select(F.floor((F.col("k") - 1) / 2).alias("parent"), F.col("k").alias("commit"), F.least(F.col("k") % 8, F.lit(7)).alias("lane"))
 
 
-@query("""+ up as (with recursive u(node, a, d) as (select k, k, 0 from modules where k < 200 union all select u.node, (u.a - 1) // 2, u.d + 1 from u where u.a > 0) select * from u)
+@query("""+ up as (with recursive u(node, a, d) as (select k, k, 0 from modules union all select u.node, (u.a - 1) // 2, u.d + 1 from u where u.a > 0) select * from u)
 select x.a as base from up x join up y on x.a = y.a where x.node = 121 and y.node = 97 order by x.d limit 1""", 41)
 def merge_base(x: Tables) -> DataFrame:
     """Nearest common ancestor of two commits of a binary commit tree."""
     k = F.col("k")
-    tree = x.modules.where("k < 200").select(k.alias("node"), F.when(k > 0, F.floor((k - 1) / 2)).alias("parent"))
+    tree = x.modules.select(k.alias("node"), F.when(k > 0, F.floor((k - 1) / 2)).alias("parent"))
     up = graph.ancestors_of(tree)
     a, b = up.where("node = 121").select("ancestor", "distance"), up.where("node = 97").select("ancestor")
     return a.join(b, "ancestor").orderBy("distance").limit(1).select(F.col("ancestor").alias("base"))
@@ -105,7 +105,7 @@ def module_moves(x: Tables) -> DataFrame:
 
 @query(None, 107, 343)
 def module_moves_all(x: Tables) -> DataFrame:
-    gone = x.base_modules.join(x.modules.select("module"), "module", "left_anti").where("k % 3 = 0")
+    gone = x.base_modules.join(x.modules.select("module"), "module", "left_anti")
     fresh = x.modules.join(x.base_modules.select("module"), "module", "left_anti")
     return moves.find(gone.select("module", F.lit("edited").alias("sha"), "names", "file"), fresh.select("module", "sha", "names", "file"))
 

@@ -208,10 +208,10 @@ def word_guesses(x: Tables) -> DataFrame:
     return w.join(c, "w").groupBy("k", "id").agg(F.count("*").alias("n")).groupBy("k").agg(F.max_by("id", F.struct("n", "id")).alias("guess"))
 
 
-@query("""+ pr as (select o_orderkey as pr, list(distinct l_partkey) as files from orders join lineitem on l_orderkey = o_orderkey where o_orderkey < 400 group by 1), near as (select o_orderkey as pr, list(distinct l_partkey) as guess from orders join lineitem on l_orderkey = o_orderkey where o_orderkey < 400 and l_linenumber < 4 group by 1)
+@query("""+ pr as (select o_orderkey as pr, list(distinct l_partkey) as files from orders join lineitem on l_orderkey = o_orderkey group by 1), near as (select o_orderkey as pr, list(distinct l_partkey) as guess from orders join lineitem on l_orderkey = o_orderkey where l_linenumber < 4 group by 1)
 select pr, len(files) as size, round(coalesce(len(list_intersect(files, guess)), 0) / len(files), 6) as recall from pr left join near using (pr)""", 433)
 def change_recall(x: Tables) -> DataFrame:
-    lines = x.raw("lineitem").where("l_orderkey < 400").join(x.raw("orders").where("o_orderkey < 400").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    lines = x.raw("lineitem").join(x.raw("orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
     per = lines.groupBy(F.col("l_orderkey").alias("pr")).agg(F.collect_set("l_partkey").alias("files"), F.collect_set(F.when(F.col("l_linenumber") < 4, F.col("l_partkey"))).alias("guess"))
     return per.select("pr", F.size("files").cast("long").alias("size"), F.round(F.size(F.array_intersect("files", "guess")) / F.size("files"), 6).alias("recall"))
 
@@ -239,10 +239,9 @@ def plan_ids(x: Tables) -> DataFrame:
     return x.raw("events").select("event_id", t.plan_id(F.to_date("ts"), task).alias("id"))
 
 
-@query("select doc_id, replace(replace(substr(text, 1, 200), chr(10), '\\x0a'), chr(9), '\\x09') as shown, regexp_matches(substr(text, 1, 200), '[\\x00-\\x1f\\x7f]') as control from documents where doc_id < 300", 248, 249)
+@query("select doc_id, replace(replace(text, chr(10), '\\x0a'), chr(9), '\\x09') as shown, regexp_matches(text, '[\\x00-\\x1f\\x7f]') as control from documents", 248, 249)
 def shown_texts(x: Tables) -> DataFrame:
-    first = F.substring("text", 1, 200)
-    return x.raw("documents").where("doc_id < 300").select("doc_id", t.printable(first).alias("shown"), t.has_control(first).alias("control"))
+    return x.raw("documents").select("doc_id", t.printable(F.col("text")).alias("shown"), t.has_control(F.col("text")).alias("control"))
 
 
 @query("select conv_id, turn, 'Says ' || role as line, case role when 'user' then 'asks' when 'assistant' then 'answers' else 'other' end as kind from conversations", 256, 257)

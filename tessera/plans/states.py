@@ -105,9 +105,9 @@ def current_verdicts(x: Tables) -> DataFrame:
     return _verdicts(x).groupBy("key").agg(F.max_by("verdict", "seq").alias("verdict"), F.count("*").alias("results"))
 
 
-@query(_VERDICTS + "select seq as id, false as accepted, case when seq % 5 = 0 then 'duplicate' when key % 3 = 0 then 'unknown request' else '' end as problem from v where seq < 500 union all select seq, false, 'duplicate' from v where seq < 500 and seq % 5 = 0", 286, 287, 309)
+@query(_VERDICTS + "select seq as id, false as accepted, case when seq % 5 = 0 then 'duplicate' when key % 3 = 0 then 'unknown request' else '' end as problem from v union all select seq, false, 'duplicate' from v where seq % 5 = 0", 286, 287, 309)
 def submission(x: Tables) -> DataFrame:
-    v = _verdicts(x).where("seq < 500")
+    v = _verdicts(x)
     requests = v.where("key % 3 <> 0").select(F.col("seq").alias("id"))
     items = v.select(F.col("seq").alias("id"), "verdict")
     return review.submit(requests, items.unionByName(items.where("id % 5 = 0")))
@@ -197,13 +197,13 @@ def change_rollups(x: Tables) -> DataFrame:
 # --- providers ---------------------------------------------------------------------
 
 
-@query("select id, case when p < 0.35 then 'decision sentence' when p >= 0.9 then 'decision governs' else '' end as kind from scores where p < 0.35 or p >= 0.9", 337, 338, 339, 340, 341)
+@query("select id, case when p < 0.35 then 'decision sentence' when p >= 0.9 then 'decision governs' else '' end as kind from scores where p < 0.35 or p >= 0.9", 339, 341)
 def provider_findings(x: Tables) -> DataFrame:
     kind = F.when(F.col("p") < 0.35, "decision sentence").when(F.col("p") >= 0.9, "decision governs")
     return x.scores.select("id", kind.alias("kind")).where("kind is not null")
 
 
-@query("select source, arg_max(id, (p, -id)) as best, max(p) as p from scores group by source", 76, 322, 323, 344, 347)
+@query("select source, arg_max(id, (p, -id)) as best, max(p) as p from scores group by source", 76, 344)
 def top_options(x: Tables) -> DataFrame:
     return x.scores.groupBy("source").agg(F.max_by("id", F.struct("p", -F.col("id"))).alias("best"), F.max("p").alias("p"))
 
@@ -213,10 +213,11 @@ def question_batches(x: Tables) -> DataFrame:
     return x.scores.select("id", "source", "label", (F.row_number().over(Window.partitionBy("source", "label").orderBy("id")) - 1).cast("long").alias("batch"))
 
 
-@query("select s.id, c.id as option from (select id from scores where id % 50 = 0) s cross join components c where c.kind <> 'actor'", 332, 333, 334, 335, 336)
+@query("select module, (select string_agg(id, ',' order by id) from components where kind <> 'actor') as options from modules where module not in (select module from owner)", 333)
 def question_options(x: Tables) -> DataFrame:
-    """Each question with every card as an option: the set of options is the product by definition, one side the cards of a model."""
-    return x.scores.where("id % 50 = 0").select("id").crossJoin(F.broadcast(x.components.where("kind <> 'actor'").select(F.col("id").alias("option"))))
+    """Each module without an owner as a question, with the cards that may own one as its options."""
+    cards = x.components.where("kind <> 'actor'").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("options"))  # one row: the cards of a model
+    return x.modules.select("module").join(cl.owners(x.claims, x.modules), "module", "left_anti").crossJoin(F.broadcast(cards))
 
 
 @query("select id, p from scores order by p nulls last, id limit 25", 172, 346, 384)
@@ -237,9 +238,9 @@ def text_digests(x: Tables) -> DataFrame:
     return x.raw("documents").select("doc_id", t.text_digest(F.col("text")).alias("digest"))
 
 
-@query("select doc_id, regexp_matches(lower(text), '(^|[^a-z0-9_-])(the)($|[^a-z0-9_-])') as mentioned, regexp_matches(lower(text), '^\\s*(copyright|\\(c\\)|licen[sc]ed? |all rights reserved|spdx-)') as notice from documents where lang = 'en'", 227, 237)
+@query("select doc_id, regexp_matches(lower(text), '(^|[^a-z0-9_-])(the)($|[^a-z0-9_-])') as mentioned, regexp_matches(lower(text), '^\\s*(copyright|\\(c\\)|licen[sc]ed? |all rights reserved|spdx-)') as notice from documents", 227, 237)
 def mentions(x: Tables) -> DataFrame:
-    return x.raw("documents").where("lang = 'en'").select("doc_id", t.mentioned(F.lit("the"), F.col("text")).alias("mentioned"), t.is_notice(F.col("text")).alias("notice"))
+    return x.raw("documents").select("doc_id", t.mentioned(F.lit("the"), F.col("text")).alias("mentioned"), t.is_notice(F.col("text")).alias("notice"))
 
 
 @query("select k, module || ':' || names[1] || '@' || substr(sha, 1, 12) as ref, module as ref_module, module || '->' || package as edge from modules", 104, 239, 240)

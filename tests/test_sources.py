@@ -11,6 +11,10 @@ TREE = {
     "app/store.py": "class Store:\n    pass\n\n\ndef test_store():\n    pass\n",
     "app/broken.py": "def (:\n",
     "build/skip.py": "x = 1\n",
+    "app/sub/__init__.py": "",
+    "app/__main__.py": "from app import core\ncore.run()\n",
+    "app/_private.py": "x = 1\n",
+    "app/deep.py": "x = " + "(" * 5000 + ")" * 5000 + "\n",
 }
 
 
@@ -25,11 +29,12 @@ def tree(tmp_path):
 def test_python_tree_becomes_facts(spark, tmp_path):
     found = python_source.extract(spark, tree(tmp_path)).cache()
     by = {r.module: r for r in found.collect()}
-    assert set(by) == {"app", "app.core", "app.store", "app.broken"}
+    assert set(by) == {"app", "app.core", "app.store", "app.broken", "app.sub", "app.__main__", "app._private", "app.deep"}
+    assert by["app.sub"].parsed and by["app.sub"].loc == 0 and not by["app.deep"].parsed
     assert [n.name for n in by["app.core"].names] == ["LIMIT", "run", "BadError"] and by["app.core"].mains
     assert by["app.broken"].names is None and by["app.broken"].problem == "SyntaxError" and by["app.store"].tests == ["test_store"]
     uses = {(r.module, r.target): r.names for r in python_source.uses(found).collect()}
-    assert uses == {("app.core", "app.store"): ["Store"]}
+    assert uses == {("app.core", "app.store"): ["Store"], ("app.__main__", "app.core"): []}
     assert [(r["import"], r.modules) for r in python_source.external(found).collect()] == [("requests", ["app.core"])]
     assert [r.module for r in python_source.entry_points(found).collect()] == ["app.core"]
 
