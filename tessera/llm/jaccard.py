@@ -19,8 +19,9 @@ First each set is compared with the smallest one that shares one of its
 sets. Then all signatures meet, with the component each set is in by now, and
 a group whose members are in one component is done with. Of the others, pairs
 are verified; larger groups are searched by sketches: members whose other
-segments are enough leave frequent groups (those over ``FREQUENT``), and the
-rest of the pairs across components is verified. The members of hot
+segments are enough leave frequent groups (those over ``FREQUENT``); of the
+others the nearest pair of each member is verified first, and then all
+plausible pairs that are still across components. The members of hot
 signatures never meet in one task: they travel as rows and are compared in
 blocks.
 
@@ -60,7 +61,7 @@ BAND = 1.5
 #: A signature group of more members is frequent.
 FREQUENT = 32
 #: Lowest signatures of a set that are matched first.
-LOWEST = 4
+LOWEST = 8
 #: A signature is counted if so many sets of a chunk have it, and is hot if HOT_LEAST sets and 1 / HOT of all have it.
 OFTEN, HOT_LEAST, HOT = 4, 1024, 256
 #: Members of a group that are compared in one task.
@@ -358,11 +359,12 @@ def plausible(percent: int):
     return run
 
 
-def across(percent: int):
+def across(percent: int, nearest: bool):
     """Plausible pairs of the blocks of mixed groups in a shard: different components, one of both bound to the group, sizes and sketches in bounds.
 
     Each pair has a side outside its block's largest component, so only those
-    members are compared, each with all others at once.
+    members are compared, each with all others at once; ``nearest`` keeps the
+    pair with the nearest sketch for each of them.
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -381,13 +383,16 @@ def across(percent: int):
             bits = np.stack([fold(np.frombuffer(x, "u1"), size) for x in sketch[a:b]]).view("<u8")
             r, m, k, o = rep[a:b], n[a:b], bound[a:b], own[a:b]
             for i in np.flatnonzero(minor):
-                near = (number != number[i]) & (k | k[i]) & (~minor | (r > r[i])) & (100 * np.minimum(m, m[i]) >= percent * np.maximum(m, m[i]))
+                near = (number != number[i]) & (k | k[i]) & (nearest | ~minor | (r > r[i])) & (100 * np.minimum(m, m[i]) >= percent * np.maximum(m, m[i]))
                 if key[a, 1] != key[a, 2]:
                     near &= o != o[i]
                 at = np.flatnonzero(near)
                 if len(at):
                     apart = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1)
-                    at = at[apart <= (100 - percent) * (m[at] + m[i]) // (100 + percent)]
+                    fits = apart <= (100 - percent) * (m[at] + m[i]) // (100 + percent)
+                    at = at[fits]
+                    if nearest and len(at):
+                        at = at[[apart[fits].argmin()]]
                     out |= {(min(r[i], x), max(r[i], x)) for x in r[at]}
         return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
 
@@ -465,8 +470,8 @@ class Join:
         both = likely.join(sets.withColumnsRenamed({"uid": "a", "members": "ma"}), "a").join(sets.withColumnsRenamed({"uid": "b", "members": "mb"}), "b")
         return materialize(both.select("a", "b", "xa", "xb", "ma", "mb").mapInArrow(verified(self.percent), LIKELY).select(F.col("xa").alias("a"), F.col("xb").alias("b")), "join-links")
 
-    def rest(self, met: DataFrame, labels: DataFrame) -> DataFrame:
-        """Plausible pairs across components in the groups of three and more and in those of hot signatures.
+    def rest(self, met: DataFrame, labels: DataFrame, *, nearest: bool = False) -> DataFrame:
+        """Plausible pairs across components in the groups of three and more and in those of hot signatures, or the nearest pair of each member.
 
         Large groups are cut into blocks of BLOCK members, and each pair of
         blocks is compared by itself.
@@ -488,7 +493,7 @@ class Join:
         rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         rows = rows.select("g", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "n", "label", "bound", "sketch")
         shard = F.pmod(F.xxhash64("g", "lo", "hi"), F.lit(self.shards))
-        return rows.groupBy(shard.alias("shard")).applyInPandas(across(self.percent), "a long, b long").distinct()
+        return rows.groupBy(shard.alias("shard")).applyInPandas(across(self.percent, nearest), "a long, b long").distinct()
 
     def links(self) -> DataFrame:
         """Links (nodes a, b) that connect what is connected: first by the lowest signatures, then among what these leave apart."""
@@ -496,8 +501,9 @@ class Join:
         labels = components(links)
         dealt = self.by_chunk(labels).mapInPandas(packets(self.shards, self.percent, self.hot()), PACKET)
         met = materialize(dealt.groupBy("shard").applyInPandas(meet(self.shards), MET), "join-met")
-        more = met.where("kind = 1").select("a", "b").unionByName(self.rest(met, labels)).distinct()
-        return links.unionByName(self.verify(more))
+        # pairs in proportion to the members first: what they link is not compared in full
+        links = links.unionByName(self.verify(met.where("kind = 1").select("a", "b").unionByName(self.rest(met, labels, nearest=True)).distinct()))
+        return links.unionByName(self.verify(self.rest(met, components(links))))
 
     def components(self) -> DataFrame:
         """uid, doc_id, mark, n_shingles, component_id of every document, and ``first``: whether it is the first of its component."""
