@@ -69,6 +69,28 @@ def materialize(df: DataFrame, name: str, fmt: str = "parquet") -> DataFrame:
     return spark.read.schema(df.schema).format(fmt).load(path)
 
 
+#: The most buckets that Spark takes.
+MOST_BUCKETS = 100_000
+
+
+def materialize_buckets(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """As ``materialize``, dealt into buckets by ``key``: a grouping by it reads its bucket and needs no exchange of these rows.
+
+    Spark exchanges the rows all the same if there are fewer buckets than
+    shuffle partitions, so there are at least as many. The table's entry stays
+    in the session's catalog; its files lie in the shared folder.
+    """
+    spark = df.sparkSession
+    small_batches(spark)
+    first = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or 0
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(first))
+    known = f"tessera-{name}-{uuid.uuid4().hex}"
+    own = known.replace("-", "_")
+    path = f"{shared_dir(spark)}/{known}"
+    df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(min(max(buckets, least), MOST_BUCKETS), key).saveAsTable(own)
+    return spark.table(own)
+
+
 #: What Catalyst takes for the size of rows whose size it does not know.
 UNKNOWN_BYTES = 1 << 62
 

@@ -8,7 +8,8 @@ Counts cover all training documents and no table of n-grams ever meets on one
 machine:
 
 1. Documents are coded once into chunks of about ``chunk_tokens`` tokens
-   (local word numbers and 64-bit word hashes) and written to the shared folder.
+   (local word numbers and 64-bit word hashes) and written to the shared folder,
+   in buckets by chunk, so only the answers travel to them.
 2. Each chunk sends every shard its distinct words with their training
    counts; a shard sums them and answers every chunk with the totals.
 3. In the same way each chunk sends its distinct n-grams, keyed by context and
@@ -49,7 +50,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, materialize, pick, pieces, source_bytes, table
+from .common import UPPER, materialize, materialize_buckets, pick, pieces, source_bytes, table
 from .elias_fano import EliasFano, mapped
 
 ORDER = 3
@@ -388,7 +389,7 @@ def score(docs: DataFrame, held_out, *, order: int = ORDER, mu: float = 4.0, chu
     """Scores of all documents by a model of those for which the column ``held_out`` is false."""
     own = pick(docs, doc_id="doc_id", text="text").withColumn("held_out", F.coalesce(held_out, F.lit(False)))
     shards = shards or pieces(source_bytes(docs), SHARD_BYTES)
-    coded = materialize(code(own, chunk_size(chunk_tokens, shards)), "lm-coded")
+    coded = materialize_buckets(code(own, chunk_size(chunk_tokens, shards)), "lm-coded", "chunk", shards)
     # the answers are read twice: for the totals and by the chunks
     words = materialize(coded.mapInPandas(word_packets(shards), PACKET).groupBy("shard").applyInPandas(word_shard, ANSWER), "lm-words")
     n, v, hot = totals(words, shards)
