@@ -129,6 +129,15 @@ def expand(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, "u1").reshape(width, -1).T).view(kind).ravel() if size else np.zeros(0, kind)
 
 
+def squeeze_rising(keys: np.ndarray) -> bytes:
+    """Keys in rising order as their differences, which have fewer bits."""
+    return squeeze(np.diff(keys, prepend=_U(0)))
+
+
+def expand_rising(data: bytes) -> np.ndarray:
+    return expand(data, "<u8").cumsum(dtype=_U)
+
+
 # --- chunks -----------------------------------------------------------------
 
 CODED = "chunk long, rows long, ids binary, id_null binary, marks binary, held binary, lengths binary, tokens binary, vocabulary binary"
@@ -274,7 +283,7 @@ def _wide(data: bytes) -> np.ndarray:
 
 
 def _packets(level: int, chunk: int, keys: np.ndarray, counts: np.ndarray, deal: np.ndarray, shards: int) -> list[tuple]:
-    return [(level, shard, chunk, squeeze(keys[at]), _narrow(counts[at])) for shard, at in deal_out(keys, deal, shards)]
+    return [(level, shard, chunk, squeeze_rising(keys[at]), _narrow(counts[at])) for shard, at in deal_out(keys, deal, shards)]
 
 
 def word_packets(shards: int):
@@ -302,7 +311,7 @@ def ngram_packets(order: int, shards: int, hot: np.ndarray):
 
 def _summed(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys of all packets of a shard that have training counts, and their sums."""
-    keys = np.concatenate([expand(k, "<u8") for k in frame["keys"]])
+    keys = np.concatenate([expand_rising(k) for k in frame["keys"]])
     counts = np.concatenate([_wide(c) for c in frame["counts"]])
     keys, counts = keys[counts > 0], counts[counts > 0]
     order = np.argsort(keys, kind="stable")
@@ -318,7 +327,7 @@ def word_shard(frame: pd.DataFrame) -> pd.DataFrame:
     keys, counts = _summed(frame)
     shard, rows = frame["shard"].iloc[0], []
     for _, r in frame.iterrows():
-        wanted = expand(r["keys"], "<u8")
+        wanted = expand_rising(r["keys"])
         at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
         found = np.where(keys[at] == wanted, counts[at], 0) if len(keys) else np.zeros(len(wanted), np.int64)
         rows.append((1, shard, r["chunk"], _narrow(found), 0, 0))
@@ -332,7 +341,7 @@ def ngram_shard(tokens: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         level = int(frame["level"].iloc[0])
         trie = Trie(*_summed(frame), tokens)
-        rows = [(level, r["shard"], r["chunk"], squeeze(trie.probe(expand(r["keys"], "<u8"))), 0, 0) for _, r in frame.iterrows()]
+        rows = [(level, r["shard"], r["chunk"], squeeze(trie.probe(expand_rising(r["keys"]))), 0, 0) for _, r in frame.iterrows()]
         return pd.DataFrame(rows, columns=["level", "shard", "chunk", "value", "word", "times"])
 
     return run
