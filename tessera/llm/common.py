@@ -60,11 +60,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder's name in the shared folder."""
+    return f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str, fmt: str = "parquet") -> DataFrame:
     """Cut lineage: write df to the shared folder and read it again."""
     spark = df.sparkSession
     small_batches(spark)
-    path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.format(fmt).option("compression", "zstd").save(path)
     return spark.read.schema(df.schema).format(fmt).load(path)
 
