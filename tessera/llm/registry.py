@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard, licenses, lm, packing, prefix_trie, quality, secrets, substring, toxicity, url_filter
+from . import chat, decontaminate, divergence, jaccard, licenses, lm, packing, prefix_trie, quality, secrets, substring, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_packing": packing.op8_packing,
         "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
         "op10_lm_scores": lm.op10_lm_scores,
+        "op11_source_divergence": divergence.op11_source_divergence,
         "op12_chat_format": chat.op12_chat_format,
         "op13_prefix_trie": prefix_trie.op13_prefix_trie,
     }
@@ -26,6 +27,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_url_filter": url_filter.ORACLE,
         "op6_decontamination": decontaminate.ORACLE,
+        "op11_source_divergence": divergence.ORACLE,
         "op12_chat_format": chat.ORACLE,
         "op13_prefix_trie": prefix_trie.ORACLE,
     }
