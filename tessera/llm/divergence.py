@@ -47,7 +47,7 @@ SCALE = 1_000_000_000
 #: Documents that a kept term is in, and the most terms listed for a source.
 LEAST, TOP = 3, 200
 #: Sources in a block, postings in a bucket, pairs of postings expanded at a time, entries counted in a task before they are passed on.
-BLOCK, POSTINGS, PAIRS, HELD = 1024, 500_000, 1 << 20, 300_000
+BLOCK, POSTINGS, PAIRS, HELD = 1024, 50_000, 1 << 20, 300_000
 
 #: Bytes of UTF-8 texts: A-Z lower-cased, everything in ASCII but letters turned into a blank.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
