@@ -1,25 +1,17 @@
 """Graph operators as bounded loops of joins.
 
-Loops end when nothing new is found; each round is checkpointed, so lineage
+Loops end when nothing new is found; each round is written, so lineage
 does not grow and a lost executor repeats one round at most.
 """
 
 from __future__ import annotations
 
-import tempfile
 from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint df in the shared folder of the session; only where none is set, in a temporary one."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint()
+from ..scratch import cut
 
 
 def neighbours(edges: DataFrame) -> DataFrame:
@@ -68,6 +60,19 @@ def cycle_edges(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").distinct().join(back, ["src", "dst"], "left_semi")
 
 
+def cyclic_core(edges: DataFrame) -> DataFrame:
+    """Edges that are left when nodes without an edge in or out are taken away until none is: all loops, and what lies between them."""
+    core = cut(edges.select("src", "dst").distinct())
+    size = core.count()
+    while size:
+        core = cut(core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        now = core.count()
+        if now == size:
+            break
+        size = now
+    return core
+
+
 def strongly_connected(edges: DataFrame) -> DataFrame:
     """(node, component): nodes that reach each other share the smallest name."""
     closure = reach(edges)

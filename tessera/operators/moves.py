@@ -7,6 +7,8 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from ..scratch import cut
 from pyspark.sql import types as T
 
 from .diff import jaccard
@@ -61,7 +63,6 @@ def find(gone: DataFrame, new: DataFrame) -> DataFrame:
     Greedy choice in one total order equals taking, round after round, every
     pair that is the best of both its ends, which is a join of two minima.
     """
-    from .graph import cut
 
     order = F.struct("rank", (-F.col("tail")).alias("t"), (-F.col("ratio")).alias("r"), (-F.col("head")).alias("h"), "old", "cand")
     left = cut(candidates(gone, new).select("old", "cand", order.alias("o")).groupBy("old", "cand").agg(F.min("o").alias("o")))
