@@ -113,14 +113,19 @@ def parse(path: str, module: str, content: bytes | None, problem: str | None) ->
     }
 
 
-def extract(spark: SparkSession, root: str) -> DataFrame:
-    """One record a module of a source tree."""
+def records(found: DataFrame) -> DataFrame:
+    """One record a module of files (path, content, problem), from a source tree or a committed one."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame([parse(r.path, r.module, r.content, r.problem) for r in frame.itertuples()], columns=[c.split()[0] for c in RECORD.split(", ")])
 
-    return files(spark, root).withColumn("module", module_of(F.col("path"))).mapInPandas(run, RECORD)
+    return found.select("path", "content", "problem").withColumn("module", module_of(F.col("path"))).mapInPandas(run, RECORD)
+
+
+def extract(spark: SparkSession, root: str) -> DataFrame:
+    """One record a module of a source tree."""
+    return records(files(spark, root))
 
 
 def uses(records: DataFrame) -> DataFrame:
