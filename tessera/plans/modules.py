@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..bindings import Tables
-from ..operators import reexports
-from ..scratch import shared_dir
-from ..sources import snapshots
+from ..operators import reexports, ways_in
+from ..scratch import cut, shared_dir
+from ..sources import snapshots, syntax
 from .registry import query
 
 # --- star re-exports -------------------------------------------------------------
@@ -131,3 +131,31 @@ def merge_bases(x: Tables) -> DataFrame:
     commits = x.modules.select(k.alias("id"), k.alias("generation"), parents.alias("parents"))
     n = x.modules.agg(F.count("*").alias("n"))
     return snapshots.merge_bases(commits, x.modules.join(F.broadcast(n)).select(k.alias("a"), ((k * 7 + 3) % F.col("n")).alias("b")))  # one row
+
+
+# --- ways in ---------------------------------------------------------------------
+# Each part is a source file of one of six kinds, numbered by its key.
+
+_SOURCES = (
+    "from fastapi import APIRouter as R\nr = R()\n@r.get('/p/%1$d')\ndef read_%1$d(): ...\n@q.get('/p')\ndef other(): ...\n",
+    "import flask\napp = flask.Flask(__name__)\n@app.route('/f/%1$d', methods=['get', 'POST'])\ndef f_%1$d(): ...\n",
+    "urlpatterns = [path('list/%1$d/', views.v%1$d)] + [re_path('^m%1$d', include([url('in/', inner)]))]\n",
+    "import click as ck\n@ck.group()\ndef g%1$d(): ...\n@g%1$d.command('show')\ndef s(): ...\n@g%1$d.group(name='deep')\ndef d(): ...\n@d.command()\ndef end_%1$d(): ...\n",
+    "from celery import Celery, shared_task\nc = Celery('t')\n@shared_task\ndef t%1$d(): ...\n@c.task(bind=True)\ndef b(self): ...\n",
+    "class C(cleo.Command):\n    name = 'c%1$d'\ndef main():\n    x.add_subparsers().add_parser('sub%1$d')\n",
+)
+
+
+@query("""select module, kind, name, target from modules join (values
+  (0, 'route', 'GET /p/#', 'read_#'), (1, 'route', 'GET /f/#', 'f_#'), (1, 'route', 'POST /f/#', 'f_#'), (2, 'route', '/list/#/', 'views.v#'), (2, 'route', '/^m#', ''), (2, 'route', '/in/', 'inner'),
+  (3, 'command', 'g#', 'g#'), (3, 'command', 'show', 's'), (3, 'command', 'deep', 'd'), (3, 'command', 'end_#', 'end_#'), (4, 'task', 't#', 't#'), (4, 'task', 'b', 'b'), (5, 'command', 'c#', 'C'), (5, 'subcommand', 'sub#', '')
+) t(n, kind_, name_, target_) on k % 6 = n, lateral (select kind_ as kind, replace(name_, '#', cast(k as varchar)) as name, replace(target_, '#', cast(k as varchar)) as target)
+union all select module, 'candidate', 'q.get', 'ways in: ' || module || '.other' from modules where k % 6 = 0""", 17, 18, 20, 21)
+def ways_in_sources(x: Tables) -> DataFrame:
+    k = F.col("k")
+    text = F.coalesce(*[F.when(k % 6 == i, F.format_string(source, k)) for i, source in enumerate(_SOURCES)])
+    files = x.modules.select(F.col("file").alias("path"), F.encode(text, "UTF-8").alias("content"), F.lit(None).cast("string").alias("problem"))
+    nodes = cut(syntax.nodes(files))
+    ways, unsure = ways_in.in_source(nodes)
+    below = ways_in.subcommands(nodes).select("module", F.lit("subcommand").alias("kind"), "name", F.lit("").alias("target"))
+    return ways.unionByName(below).unionByName(unsure.select("module", F.lit("candidate").alias("kind"), F.col("target").alias("name"), F.concat(F.lit("ways in: "), "name").alias("target")))

@@ -14,7 +14,9 @@ FUNCTIONS = {
     "sources.python_source.extract": (10, 11, 14, 18, 24, 314, 450),
     "sources.python_source.uses": (12, 27),
     "sources.python_source.external": (13,),
-    "sources.python_source.entry_points": (17, 19),
+    "sources.syntax.nodes": (24,),
+    "operators.ways_in.in_project": (19,),
+    "operators.ways_in.all_ways": (17,),
     "sources.facts.read": (36, 50, 52, 53),
     "sources.facts.write": (181, 400, 406, 407),
     "sources.facts.strip_comments": (35,),
