@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..bindings import Tables
-from ..operators import reexports, ways_in
+from ..operators import reexports, ways_in, workspace
 from ..scratch import cut, shared_dir
 from ..sources import snapshots, syntax
 from .registry import query
@@ -159,3 +159,29 @@ def ways_in_sources(x: Tables) -> DataFrame:
     ways, unsure = ways_in.in_source(nodes)
     below = ways_in.subcommands(nodes).select("module", F.lit("subcommand").alias("kind"), "name", F.lit("").alias("target"))
     return ways.unionByName(below).unionByName(unsure.select("module", F.lit("candidate").alias("kind"), F.col("target").alias("name"), F.concat(F.lit("ways in: "), "name").alias("target")))
+
+
+# --- workspace members -------------------------------------------------------------
+# Each type is a repository; its folders are the parts of its modules' files. Every
+# repository lists the same patterns.
+
+_GLOBS = {
+    "brand1?": "brand1[^/]", "brand2*/*": "brand2[^/]*/[^/]+", "**/anvil": "([^/]+/)*anvil", "brand12/hot/**": "brand12/hot(/.+)?", "*/[a-h]*/*": "[^/]+/[a-h][^/]*/[^/]+",
+    "brand[!12]?/**/[0-9]*": "brand[^12/][^/]/([^/]+/)*[0-9][^/]*", "**/[m-z]*/**": "([^/]+/)*[m-z][^/]*(/.+)?", "brand13/small": "brand13/small",
+}
+
+
+def _folder_rows(x: Tables) -> DataFrame:
+    path = F.replace(F.concat(F.substring_index("package", ".", -1), F.lit("/"), F.substring_index("module", ".", -1)), F.lit("_"), F.lit("/"))
+    parts = F.split(path, "/")
+    own = x.modules.select(F.substring_index("package", ".", 1).alias("repo"), parts.alias("p")).select("repo", "p", F.explode(F.sequence(F.lit(1), F.size("p"))).alias("n"))
+    at = lambda n: F.array_join(F.slice("p", 1, n), "/")
+    return own.select("repo", at(F.col("n")).alias("path"), at(F.col("n") - 1).alias("parent"), F.get("p", F.col("n") - 1).alias("name")).distinct()
+
+
+@query("""+ parts as (select split_part(package, '.', 1) as repo, string_split(replace(split_part(package, '.', 2) || '/' || leaf, '_', '/'), '/') as p from modules),
+folders as (select distinct repo, array_to_string(p[1:n], '/') as path from (select repo, p, unnest(range(1, len(p) + 1)) as n from parts))
+select repo, path from folders where """ + " or ".join(f"regexp_full_match(path, '{r}')" for r in _GLOBS.values()), 2, 3)
+def workspace_members(x: Tables) -> DataFrame:
+    patterns = x.modules.select(F.substring_index("package", ".", 1).alias("repo")).distinct().withColumn("pattern", F.explode(F.array(*[F.lit(g) for g in _GLOBS])))
+    return workspace.matching(patterns, _folder_rows(x))

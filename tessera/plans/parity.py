@@ -10,7 +10,11 @@ from . import registry
 
 #: Rows that a library function covers without a query over the relational tables.
 FUNCTIONS = {
-    "sources.python_source.files": (1, 5, 6, 7, 8),
+    "sources.tree.entries": (1, 5),
+    "sources.tree.contents": (6, 7, 8),
+    "sources.syntax.tables": (4,),
+    "operators.workspace.package_roots": (2,),
+    "operators.workspace.members": (3,),
     "sources.python_source.extract": (10, 11, 14, 18, 24, 314, 450),
     "sources.python_source.uses": (12, 27),
     "sources.python_source.external": (13,),

@@ -3,20 +3,16 @@
 from __future__ import annotations
 
 import ast
-import re
 import sys
 from collections.abc import Iterator
-from fnmatch import fnmatch
 
 import pandas as pd
-from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import module_of
+from . import tree
 
-MAX_BYTES = 16 << 20
-SKIPPED = r"(^|/)(\.git|\.venv|node_modules|__pycache__|build|dist)/"
 RECORD = (
     "path string, module string, parsed boolean, problem string, docstring string, loc long, names array<struct<name:string,kind:string>>, "
     "imports array<struct<target:string,name:string,local:string,line:long>>, mains boolean, tests array<string>"
@@ -24,42 +20,8 @@ RECORD = (
 
 
 def files(spark: SparkSession, root: str, glob: str = "*.py") -> DataFrame:
-    """(path, content, problem) of every source file below root; files that are too large are refused with a cause, not dropped.
-
-    Spark's file reader hides files whose names begin with ``_`` and empty
-    ones, which are what packages are made of. So the tree is listed by the
-    file system's own listing (names and sizes only), and the contents are
-    read on the executors. A file that can't be read keeps its row with a
-    cause.
-    """
-    jvm = spark.sparkContext._jvm
-    base = jvm.org.apache.hadoop.fs.Path(root)
-    system = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    base = system.makeQualified(base)
-    found, top = system.listFiles(base, True), base.toUri().getPath().rstrip("/") + "/"
-    rows = []
-    while found.hasNext():
-        status = found.next()
-        path = status.getPath()
-        rows.append((path.toUri().getPath().removeprefix(top), path.toString(), status.getLen()))
-    listed = spark.createDataFrame([r for r in rows if fnmatch(r[0].rpartition("/")[2], glob) and not re.search(SKIPPED, r[0])], "path string, uri string, length long")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples():  # one content at a time
-                content, problem = _read(row.uri) if row.length <= MAX_BYTES else (None, "too large")
-                yield pd.DataFrame([(row.path, content, problem)], columns=["path", "content", "problem"])
-
-    return listed.mapInPandas(run, "path string, content binary, problem string")
-
-
-def _read(uri: str) -> tuple[bytes | None, str | None]:
-    try:
-        system, path = FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if re.match("file:/[^/]", uri) else uri)
-        with system.open_input_file(path) as f:
-            return f.read(), None
-    except OSError as error:
-        return None, type(error).__name__
+    """(path, content, problem) of every source file below root; files that can't be read or are too large keep their row with a cause."""
+    return tree.contents(tree.entries(spark, root, glob), root)
 
 
 def _names(tree: ast.Module) -> list[dict]:
@@ -99,14 +61,14 @@ def parse(path: str, module: str, content: bytes | None, problem: str | None) ->
     if content is None:
         return none | {"problem": problem}
     try:
-        tree = ast.parse(text := content.decode("utf-8").replace("\r\n", "\n"))
-        found = {"docstring": ast.get_docstring(tree) or "", "names": _names(tree), "imports": _imports(tree, module, path.endswith("__init__.py")), "mains": any(map(_is_main, tree.body))}
+        parsed = ast.parse(text := content.decode("utf-8-sig").replace("\r\n", "\n").replace("\r", "\n"))
+        found = {"docstring": ast.get_docstring(parsed) or "", "names": _names(parsed), "imports": _imports(parsed, module, path.endswith("__init__.py")), "mains": any(map(_is_main, parsed.body))}
     except (RecursionError, MemoryError):  # nested more deeply than the parser can follow
         return none | {"problem": "depth"}
     except (SyntaxError, ValueError) as error:
         return none | {"problem": type(error).__name__}
-    tests = [n.name for n in tree.body if isinstance(n, ast.FunctionDef) and n.name.startswith("test_")]
-    tests += [f"{c.name}.{n.name}" for c in tree.body if isinstance(c, ast.ClassDef) for n in c.body if isinstance(n, ast.FunctionDef) and n.name.startswith("test_")]
+    tests = [n.name for n in parsed.body if isinstance(n, ast.FunctionDef) and n.name.startswith("test_")]
+    tests += [f"{c.name}.{n.name}" for c in parsed.body if isinstance(c, ast.ClassDef) for n in c.body if isinstance(n, ast.FunctionDef) and n.name.startswith("test_")]
     return found | {
         "path": path, "module": module, "parsed": True, "problem": None, "loc": text.count("\n") + bool(text and not text.endswith("\n")),
         "tests": tests,

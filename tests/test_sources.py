@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessera.sources import facts, python_source
+from tessera.sources import tree as trees
 from tessera.streaming import live
 
 TREE = {
@@ -16,6 +17,8 @@ TREE = {
     "app/_private.py": "x = 1\n",
     "app/deep.py": "x = " + "(" * 5000 + ")" * 5000 + "\n",
 }
+#: Names that a URI would have to quote.
+ODD = ["app/a b.py", "app/a#b.py", "app/a%20b.py", "app/\u00e9t\u00e9.py", "app/x?y.py", "odd dir #1/p%q/z.py"]
 
 
 def tree(tmp_path):
@@ -39,6 +42,35 @@ def test_python_tree_becomes_facts(spark, tmp_path):
     assert [r.module for r in python_source.entry_points(found).collect()] == ["app.core"]
 
 
+def test_any_file_name_is_listed_and_read(spark, tmp_path):
+    for i, path in enumerate(ODD):
+        file = tmp_path / path
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_text(f"x = {i}\n")
+    (tmp_path / "app" / "not.txt").write_text("no")
+    (tmp_path / "node_modules").mkdir()
+    (tmp_path / "node_modules" / "m.py").write_text("no")
+    (tmp_path / "app" / "gone.py").symlink_to("/etc/hostname")
+    (tmp_path / "app" / "here.py").symlink_to("a b.py")
+    (tmp_path / "loop").symlink_to(tmp_path)
+    (tmp_path / "app" / "big.py").write_text("#" * 100)
+    open(bytes(tmp_path) + b"/app/bad\xff.py", "w").close()
+    listed = trees.entries(spark, str(tmp_path), "*.py")
+    found = {r.path: (r.content, r.problem) for r in trees.contents(listed, str(tmp_path), limit=99).collect()}
+    assert {p: found[p] for p in ODD} == {p: (f"x = {i}\n".encode(), None) for i, p in enumerate(ODD)}
+    assert found["app/here.py"] == (b"x = 0\n", None) and found["app/gone.py"] == (None, trees.LEAVES) and found["app/big.py"] == (None, trees.TOO_LARGE) and found["app/bad?.py"] == (None, trees.NOT_TEXT)
+    assert len(found) == len(ODD) + 4
+    folders = {r.path: r.kind for r in listed.where("kind <> 'file'").collect()}
+    assert folders == {"app": "dir", "odd dir #1": "dir", "odd dir #1/p%q": "dir", "loop": "link"}
+    assert {r.path for r in python_source.files(spark, f"file://{tmp_path}").collect()} == set(found)
+
+
+def test_a_tree_that_is_empty_or_missing(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    assert trees.entries(spark, str(tmp_path / "none")).count() == 0
+    assert [(r.path, r.problem) for r in trees.contents(spark.createDataFrame([("a.py", "", "a.py", "file", 1, None)], trees.ENTRIES), str(tmp_path)).collect()] == [("a.py", "FileNotFoundError")]
+
+
 def test_snapshots_round_trip_and_keep_null_apart_from_empty(spark, tmp_path):
     rows = [("b", "b.py", "p", 1, "s", "", ["x"], {"a": ["n"]}, True, []), ("a", "a.py", "p", 2, "s", "", [], {}, False, None)]
     df = spark.createDataFrame(rows, "module string, file string, package string, loc long, sha string, docstring string, names array<string>, uses map<string,array<string>>, parsed boolean, unresolved array<string>")
