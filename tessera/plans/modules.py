@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..bindings import Tables
-from ..operators import reexports, ways_in, workspace
+from ..operators import line_diff, reexports, ways_in, workspace
 from ..scratch import cut, shared_dir
 from ..sources import snapshots, syntax
 from .registry import query
@@ -185,3 +185,17 @@ select repo, path from folders where """ + " or ".join(f"regexp_full_match(path,
 def workspace_members(x: Tables) -> DataFrame:
     patterns = x.modules.select(F.substring_index("package", ".", 1).alias("repo")).distinct().withColumn("pattern", F.explode(F.array(*[F.lit(g) for g in _GLOBS])))
     return workspace.matching(patterns, _folder_rows(x))
+
+
+# --- line differences ---------------------------------------------------------------
+# Each document against an edition of it with lines dropped, added and changed.
+
+
+@query("""select doc_id, sha256(array_to_string(flatten(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: case
+  when ((i - 1) * 7 + doc_id) % 5 = 0 then [] when (i - 1 + doc_id) % 6 = 0 then [x, 'new ' || (i - 1)] when ((i - 1) * 3 + doc_id) % 11 = 0 then ['~' || x] else [x] end)), chr(10))) as text_sha from documents""", 46)
+def applied_diffs(x: Tables) -> DataFrame:
+    d = x.raw("documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    none, doc = F.array().cast("array<string>"), F.col("doc_id")
+    edited = F.flatten(F.transform(F.split("text", "\n", -1), lambda line, n: F.when((n * 7 + doc) % 5 == 0, none).when((n + doc) % 6 == 0, F.array(line, F.concat(F.lit("new "), n.cast("string")))).when((n * 3 + doc) % 11 == 0, F.array(F.concat(F.lit("~"), line))).otherwise(F.array(line))))
+    found = line_diff.hunks(d.select("path", "text"), d.select("path", F.array_join(edited, "\n").alias("text")))
+    return line_diff.applied(d.select("path", "text"), found).select(F.col("path").cast("long").alias("doc_id"), F.sha2("text", 256).alias("text_sha"))
