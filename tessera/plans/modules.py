@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..bindings import Tables
-from ..operators import line_diff, reexports, ways_in, workspace
+from ..operators import claims as cl
+from ..operators import code_between as between
+from ..operators import edges, line_diff, reexports, ways_in, workspace
 from ..scratch import cut, shared_dir
 from ..sources import snapshots, syntax
 from .registry import query
@@ -199,3 +201,31 @@ def applied_diffs(x: Tables) -> DataFrame:
     edited = F.flatten(F.transform(F.split("text", "\n", -1), lambda line, n: F.when((n * 7 + doc) % 5 == 0, none).when((n + doc) % 6 == 0, F.array(line, F.concat(F.lit("new "), n.cast("string")))).when((n * 3 + doc) % 11 == 0, F.array(F.concat(F.lit("~"), line))).otherwise(F.array(line))))
     found = line_diff.hunks(d.select("path", "text"), d.select("path", F.array_join(edited, "\n").alias("text")))
     return line_diff.applied(d.select("path", "text"), found).select(F.col("path").cast("long").alias("doc_id"), F.sha2("text", 256).alias("text_sha"))
+
+
+# --- code between components ----------------------------------------------------------
+# Every import across two cards has one site, whose lines follow from the lengths of the
+# names; each module has 24 lines, every fifth of them blank.
+
+
+@query("""+ pairs as (select distinct p as src, q as dst from crossing),
+across as (select p.src, p.dst, false as back, c.module, c.target from pairs p join (select distinct * from crossing) c on c.p = p.src and c.q = p.dst union all select p.src, p.dst, true, c.module, c.target from pairs p join (select distinct * from crossing) c on c.p = p.dst and c.q = p.src),
+blind as (select distinct a.src, a.dst from across a join modules m using (module) where k % 701 = 0 or k % 803 = 0),
+site as (select *, length(module) as a, length(target) as b from across where not exists (select 1 from blind where blind.src = across.src and blind.dst = across.dst)),
+uses_ as (select *, (a + b) % 3 <> 0 as direct, 3 + b % 20 as use_line, a % 4 as fn from site),
+picks as (
+  select src, dst, back, module, 1 + a % 7 as line, 1 as tier, 0 as o, 1 + a % 7 as l from uses_ where direct union all select src, dst, back, module, use_line, case when direct then 1 else 2 end, 0, use_line from uses_ where direct or b % 2 = 0
+  union all select src, dst, back, module, fn, 3, case when direct then 1 else 2 end, use_line from uses_ where (direct or b % 2 = 0) and fn > 0 and fn <> use_line
+), best as (select src, dst, back, module, line, min({'tier': tier, 'o': o, 'back': back::int, 'm': module, 'l': l}) as rank from picks where line between 1 and 24 and line % 5 <> 0 group by all),
+cut as (select *, row_number() over (partition by src, dst order by rank, line) as n from best)
+select src, dst, cast(row_number() over (partition by src, dst order by back, module, line) as int) as at, module, cast(line as int) as line, module || ':' || line || ': code ' || line as text from cut where n <= 60""", 124, 350)
+def code_between_cards(x: Tables) -> DataFrame:
+    owners = cl.owners(x.claims, x.modules).select("module", "owner")
+    pairs = edges.crossing(x.uses, owners).select(F.col("p").alias("src"), F.col("q").alias("dst")).distinct()
+    a, b = F.length("module"), F.length("target")
+    use = F.struct((3 + b % 20).cast("int").alias("line"), (a % 4).cast("int").alias("function"), F.when(b % 2 == 0, "m").otherwise("").alias("member"))
+    sites = x.uses.select("module", "target", F.lit("x").alias("name"), F.when((a + b) % 3 == 0, "value").otherwise("import").alias("bound"), (1 + a % 7).cast("int").alias("line"), F.array(use).alias("uses"))
+    n = F.col("n")
+    lines = x.modules.select("module", F.explode(F.sequence(F.lit(1), F.lit(24))).alias("n")).withColumn("text", F.when(n % 5 == 0, "  ").otherwise(F.concat(F.lit("  code "), n.cast("string"))))
+    known = x.modules.select("module", (F.col("k") % 701 != 0).alias("sites"), (F.col("k") % 803 != 0).alias("source"))
+    return between.code_between(pairs, owners, x.uses, sites, lines, known)[0]
