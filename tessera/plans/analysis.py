@@ -317,3 +317,31 @@ def region_weights(x: Tables) -> DataFrame:
 def region_sizes(x: Tables) -> DataFrame:
     pos = F.col("pos")
     return x.components.select("id", (40 + 12 * F.char_length("id")).cast("long").alias("w"), (24 + 16 * (1 + pos % 3)).alias("h"), F.floor(pos / 100).alias("container"), (pos % 10).alias("col"))
+
+
+# --- segments and labels --------------------------------------------------------
+# Each part draws a segment in its package's figure, and wants a label at one of four places.
+
+_DRAWN = _BOX.rstrip() + """, seg as (select id, grp, x as x0, y + 5 as y0, case when id % 2 = 0 then x + 30 + id % 200 else x + 2 end as x1, case when id % 2 = 0 then y + 5 else y + 30 + id % 150 end as y1 from box)
+, cand as (select *, row_number() over (partition by grp order by rank, n) as i from (select grp, id, (id * 7919) % 10007 * 100000 + id as rank, n, x + [0, 15, -15, 0][n] as x, y + [0, 0, 0, 30][n] as y, 20 + w % 10 as w, 8 as h from box, range(1, 5) t(n)))
+"""
+
+
+@query(_DRAWN + "select s.grp, s.id as segment, b.id as box from seg s join box b on s.grp = b.grp and case when abs(y1 - y0) <= abs(x1 - x0) then b.y < y0 and y0 < b.y + b.h and least(x0, x1) < b.x + b.w and greatest(x0, x1) > b.x else b.x < x0 and x0 < b.x + b.w and least(y0, y1) < b.y + b.h and greatest(y0, y1) > b.y end", 395)
+def crossed_boxes(x: Tables) -> DataFrame:
+    k, flat = F.col("id"), F.col("id") % 2 == 0
+    segments = _boxes(x).select(F.col("grp").alias("by"), "id", F.col("x").alias("x0"), (F.col("y") + 5).alias("y0"), F.when(flat, F.col("x") + 30 + k % 200).otherwise(F.col("x") + 2).alias("x1"), F.when(flat, F.col("y") + 5).otherwise(F.col("y") + 30 + k % 150).alias("y1"))
+    return layout.crossed_boxes(segments, _boxes(x).withColumnRenamed("grp", "by"), 50).withColumnRenamed("by", "grp")
+
+
+@query(_DRAWN + """, walk as (with recursive g(grp, i, taken) as (
+  select distinct grp, cast(0 as bigint), cast([] as struct(id bigint, n bigint, x bigint, y bigint, w bigint, h bigint)[]) from cand
+  union all select g.grp, c.i, case when exists (select 1 from box o where o.grp = c.grp and o.id % 5 = 0 and o.x < c.x + c.w and c.x < o.x + o.w and o.y < c.y + c.h and c.y < o.y + o.h)
+    or len(list_filter(taken, lambda t: t.id = c.id or (t.x < c.x + c.w + 3 and c.x - 3 < t.x + t.w and t.y < c.y + c.h + 3 and c.y - 3 < t.y + t.h))) > 0 then taken else list_append(taken, {'id': c.id, 'n': c.n, 'x': c.x, 'y': c.y, 'w': c.w, 'h': c.h}) end
+  from g join cand c on c.grp = g.grp and c.i = g.i + 1) select grp, max_by(taken, i) as taken from g group by grp)
+select grp, t.id, t.n from (select grp, unnest(taken) as t from walk)""", 396, 397)
+def placed_labels(x: Tables) -> DataFrame:
+    b = _boxes(x).withColumnRenamed("grp", "by")
+    spot = F.explode(F.array(*[F.struct(F.lit(n).cast("long").alias("n"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for n, dx, dy in ((1, 0, 0), (2, 15, 0), (3, -15, 0), (4, 0, 30))]))
+    candidates = b.withColumn("s", spot).select("by", "id", (F.col("id") * 7919 % 10007 * 100000 + F.col("id")).alias("rank"), "s.n", (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"), (20 + F.col("w") % 10).alias("w"), F.lit(8).alias("h"))
+    return layout.place_labels(candidates, b.where("id % 5 = 0"), 3, 50).withColumnRenamed("by", "grp")
