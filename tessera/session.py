@@ -14,6 +14,7 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }
     for key, value in (settings | conf).items():
         builder = builder.config(key, value)
