@@ -11,9 +11,10 @@ from pyspark.sql.window import Window
 from ..bindings import Tables
 from ..operators import claims as cl
 from ..operators import code_between as between
-from ..operators import edges, line_diff, reexports, ways_in, workspace
+from ..operators import edges, line_diff, reexports, settings, ways_in, workspace
 from ..scratch import cut, shared_dir
 from ..sources import snapshots, syntax
+from ..streaming import events
 from .registry import query
 
 # --- star re-exports -------------------------------------------------------------
@@ -229,3 +230,81 @@ def code_between_cards(x: Tables) -> DataFrame:
     lines = x.modules.select("module", F.explode(F.sequence(F.lit(1), F.lit(24))).alias("n")).withColumn("text", F.when(n % 5 == 0, "  ").otherwise(F.concat(F.lit("  code "), n.cast("string"))))
     known = x.modules.select("module", (F.col("k") % 701 != 0).alias("sites"), (F.col("k") % 803 != 0).alias("source"))
     return between.code_between(pairs, owners, x.uses, sites, lines, known)[0]
+
+
+# --- settings ---------------------------------------------------------------------------
+# Each part is a settings file that extends one or two files of lower numbers; two of every
+# fifty extend each other.
+
+
+@query("""+ links as (select k, 0 as pos, case when k % 50 = 21 then k + 1 when k % 50 = 22 then k - 1 else k // 2 end as parent from modules where k % 5 <> 0 or k % 50 in (21, 22) union all select k, 1, k // 3 from modules where k % 7 = 0 and k % 5 <> 0 and k % 50 not in (21, 22) and k > 0),
+last_ as (select k, parent, max(pos) over (partition by k) - pos as step from links where k <> parent),
+own as (select k, 'target' as name, 't' || k as value from modules where k % 3 = 0 union all select k, 'base', 'b' || k from modules where k % 4 = 1 union all select k, 'paths', 'p' || k from modules where k % 6 = 2),
+walk as (with recursive w(k, spot, rank, n) as (select k, k, cast([] as bigint[]), 0 from modules union all select w.k, l.parent, list_append(w.rank, l.step), n + 1 from w join last_ l on l.k = w.spot where n < 16 and w.spot % 50 not in (21, 22)) select * from w),
+bad as (select distinct k from walk where spot % 50 in (21, 22)),
+best as (select w.k, o.name, arg_min({'v': o.value, 'spot': w.spot}, w.rank) as v from walk w join own o on o.k = w.spot where w.k not in (select k from bad) group by w.k, o.name)
+select k as path, name, v.v as value, v.spot as given_by from best union all select k, 'problem', 'circular', cast(null as bigint) from bad""", 28, 29)
+def inherited_settings(x: Tables) -> DataFrame:
+    k = F.col("k")
+    pair = (k % 50).isin(21, 22)
+    first = x.modules.where((k % 5 != 0) | pair).select(k.alias("path"), F.lit(0).alias("pos"), F.when(k % 50 == 21, k + 1).when(k % 50 == 22, k - 1).otherwise(F.floor(k / 2)).alias("parent"))
+    second = x.modules.where((k % 7 == 0) & (k % 5 != 0) & ~pair & (k > 0)).select(k, F.lit(1), F.floor(k / 3))
+    extends = first.union(second).where("path <> parent")
+    named = F.inline(F.filter(F.array(*[F.struct(c.alias("on"), F.lit(n).alias("name"), F.concat(F.lit(v), k.cast("string")).alias("value")) for c, n, v in ((k % 3 == 0, "target", "t"), (k % 4 == 1, "base", "b"), (k % 6 == 2, "paths", "p"))]), lambda s: s["on"]))
+    own = x.modules.select(k.alias("path"), named).select("path", "name", "value")
+    found, problems = settings.effective(extends, own, x.modules.select(k.alias("path")))
+    circular = problems.where("startswith(cause, 'a circular')").select("path").distinct()
+    return found.unionByName(circular.select("path", F.lit("problem").alias("name"), F.lit("circular").alias("value"), F.lit(None).cast("bigint").alias("given_by")))
+
+
+_LEAVES = (
+    ("#one", 0, (), "./one.js"), ("#w/*", 0, ("types",), "./types/*.d.ts"), ("#w/*", 1, ("import", "dev"), "./dev/*.js"), ("#w/*", 2, ("default",), "./w/*.js"), ("#w/hot/*", 0, ("require",), None), ("#w/hot/*", 1, ("default",), "./hot/*"),
+    ("#w/*.json", 0, (), "./json/*"), ("#w/cold/*", 0, ("import",), "./cold/*"),
+)
+
+
+@query("""+ packages as (select distinct package from modules), leaves(key, seq, needed, target) as (values """ + ", ".join(f"('{k}', {i}, cast([{', '.join(repr(c) for c in cs)}] as varchar[]), {'null' if t is None else repr(t)})" for k, i, cs, t in _LEAVES) + """),
+requests as (select distinct package, case when k % 9 = 0 then '#one' when k % 9 = 1 then '#none' else '#w/' || replace(leaf, '_', '/') || case when k % 4 = 0 then '.json' else '' end end as specifier, [['import'], ['require'], ['types', 'import'], ['import', 'dev']][k % 4 + 1] as conditions from modules),
+keyed as (select r.*, l.key, row_number() over (partition by package, specifier, conditions order by case when key = specifier then 0 else 1 end, length(split_part(key, '*', 1)) desc, length(key) desc) as n from requests r join (select distinct key from leaves) l
+  on key = specifier or (contains(key, '*') and starts_with(specifier, split_part(key, '*', 1)) and ends_with(specifier, split_part(key, '*', 2)) and length(specifier) > length(key) - 1)),
+told as (select k.package, k.specifier, k.conditions, k.key, l.target, substr(k.specifier, length(split_part(k.key, '*', 1)) + 1, length(k.specifier) - length(k.key) + 1) as middle, row_number() over (partition by k.package, k.specifier, k.conditions order by l.seq) as m
+  from keyed k join leaves l on l.key = k.key where k.n = 1 and len(list_filter(l.needed, lambda c: c <> 'default' and not list_contains(k.conditions, c))) = 0)
+select r.package, r.specifier, array_to_string(r.conditions, ',') as conditions, replace(t.target, '*', t.middle) as target from requests r left join told t on t.package = r.package and t.specifier = r.specifier and t.conditions = r.conditions and t.m = 1""", 32)
+def conditional_targets(x: Tables) -> DataFrame:
+    k = F.col("k")
+    section = F.lit("imports").alias("section")
+    leaf = F.array(*[F.struct(F.lit(key).alias("key"), F.lit(i).alias("seq"), F.array(*[F.lit(c) for c in cs]).cast("array<string>").alias("conditions"), F.lit(t).cast("string").alias("target"), F.lit(False).alias("listed")) for key, i, cs, t in _LEAVES])
+    leaves = x.modules.select("package").distinct().select("package", section, F.inline(leaf))
+    word = F.concat(F.lit("#w/"), F.replace(F.substring_index("module", ".", -1), F.lit("_"), F.lit("/")), F.when(k % 4 == 0, ".json").otherwise(""))
+    wanted = F.array(*[F.array(*[F.lit(c) for c in cs]) for cs in (("import",), ("require",), ("types", "import"), ("import", "dev"))])
+    requests = x.modules.select("package", section, F.when(k % 9 == 0, "#one").when(k % 9 == 1, "#none").otherwise(word).alias("specifier"), F.get(wanted, (k % 4).cast("int")).alias("conditions"))
+    return settings.resolve(requests, leaves).select("package", "specifier", F.array_join("conditions", ",").alias("conditions"), "target")
+
+
+# --- live events --------------------------------------------------------------------------
+# Each user's events are the lines of a live view: signups serve, views begin a rendering,
+# purchases end one, errors break one, clicks change a file; some lines are cut off.
+
+
+def _live_lines(x: Tables) -> DataFrame:
+    i, kind = F.col("event_id"), F.col("event_type")
+    event = F.when(kind == "signup", "serving").when(kind == "view", "rendering").when(kind == "purchase", "rendered").when(kind == "error", "error").otherwise("change")
+    line = F.to_json(F.struct(event.alias("event"), F.concat(F.lit("u"), i.cast("string")).alias("url"), i.alias("version"), (i % 7).alias("updates"), (i * 2).alias("svg_bytes"), F.concat(F.lit("\n  e"), i.cast("string"), F.lit(" \nmore")).alias("text")))
+    return x.raw("events").select(F.col("user_id").cast("string").alias("view"), "ts", F.when(i % 13 == 0, F.substring(line, 1, 20)).otherwise(line).alias("line"))
+
+
+_LIVE = "+ e as (select cast(user_id as varchar) as view, ts, event_id as i, event_type as t from events where event_id % 13 <> 0)\n"
+
+
+@query(_LIVE + """select view, coalesce(max_by('u' || i, ts) filter (t = 'signup'), '') as url, coalesce(max_by(case t when 'view' then 'rendering' when 'purchase' then 'ready' else 'error' end, ts) filter (t in ('view', 'purchase', 'error')), '') as phase,
+  coalesce(max_by(i, ts) filter (t in ('purchase', 'error')), 0) as version, coalesce(max_by(i % 7, ts) filter (t = 'purchase'), 0) as updates, coalesce(max_by(i, ts) filter (t = 'purchase'), 0) as good,
+  coalesce(max_by(i * 2, ts) filter (t = 'purchase'), 0) as svg_bytes, coalesce(max_by(case t when 'error' then 'e' || i else '' end, ts) filter (t in ('purchase', 'error')), '') as error from e group by view""", 293)
+def live_states(x: Tables) -> DataFrame:
+    return events.fold(_live_lines(x))
+
+
+@query(_LIVE + """, g as (select view, epoch_us(ts) // 1000 as ts, lag(epoch_us(ts) // 1000) over (partition by view order by ts) as b from e where t = 'click'),
+n as (select *, sum(case when b is null or ts - b >= 86400000 then 1 else 0 end) over (partition by view order by ts rows unbounded preceding) as period from g)
+select view, max(ts) + 86400000 as due, count(*) as changes from n group by view, period""", 290)
+def quiet_periods(x: Tables) -> DataFrame:
+    return events.due_times(_live_lines(x), 86400)
