@@ -71,3 +71,72 @@ def level_counts(claims: DataFrame, levels: list[str]) -> DataFrame:
     spark = claims.sparkSession
     domain = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in levels])).alias("level"))
     return domain.join(claims.groupBy("level").agg(F.count("*").alias("c")), "level", "left").select("level", F.coalesce("c", F.lit(0)).alias("n"))
+
+
+def flow_review(states: DataFrame) -> DataFrame:
+    """(key, line) of flows that need a source review: structural evidence only, or source records that do not resolve. states: key, name, artifact, state, unresolved_refs."""
+    needed = states.where("state = 'structural' or (coalesce(unresolved_refs, false) and state <> 'external')")
+    text = F.concat(F.lit("flow review: "), "name", F.lit(" ("), "artifact", F.lit(") has structural evidence but no source review. Give source references for direction and artifact, or change the flow."))
+    return needed.select("key", text.alias("line"))
+
+
+def no_endpoint_source(flows: DataFrame, refs: DataFrame, held: DataFrame, components: DataFrame) -> DataFrame:
+    """(key, line) of flows with source records of which none is in a module of an endpoint.
+
+    flows: key, name, artifact, src, dst; refs: key, module; held: id, module
+    (claims matched with modules); components: id, pos, claims (whether it
+    specifies any module). An actor has no modules, so the other end counts.
+    """
+    cited = refs.select("key", "module").distinct()
+    ends = flows.select("key", F.explode(F.array_distinct(F.array("src", "dst"))).alias("id"))
+    good = ends.join(cited, "key").join(held.select("id", "module").distinct(), ["id", "module"], "left_semi").select("key").distinct()
+    bad = flows.join(cited.select("key").distinct(), "key", "left_semi").join(good, "key", "left_anti")
+    named = bad.select("key", F.explode(F.array_distinct(F.array("src", "dst"))).alias("id")).join(components.where("claims").select("id", "pos"), "id")
+    listed = named.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda e: e["id"]), " or ").alias("ends"))
+    where = F.coalesce("ends", F.lit(""))
+    text = F.concat(F.lit("no endpoint source: "), "name", F.lit(" ("), "artifact", F.lit("): no source record is in a module of "), where, F.lit(". Add a source record in a module of "), where, F.lit(", or change the flow."))
+    return bad.join(listed, "key", "left").select("key", text.alias("line"))
+
+
+def lost_evidence(flows: DataFrame, base: DataFrame, head: DataFrame, at_base: str = "", model_file: str = "the model") -> DataFrame:
+    """(key, kind, line) of flows whose evidence was better at the base. flows: key, name, artifact, of the model under review; base and head: key, state.
+
+    A flow that a side does not know is not compared.
+    """
+    both = flows.join(base.select("key", F.col("state").alias("was")), "key").join(head.select("key", F.col("state").alias("now")), "key")
+    head_text = F.concat(F.lit(": "), "name", F.lit(" ("), "artifact", F.lit(") "))
+    kind = (
+        F.when((F.col("was") == "observed") & (F.col("now") == "declared"), "evidence lost").when((F.col("was") == "observed") & (F.col("now") != "observed"), "source evidence lost")
+        .when((F.col("was") == "structural") & (F.col("now") == "declared"), "structural evidence lost")
+    )
+    rest = (
+        F.when(kind == "evidence lost", F.lit(f"had a current source review{at_base} and no import connects them now. Find the evidence, give the mechanism, or remove the flow in {model_file}"))
+        .when(kind == "source evidence lost", F.concat(F.lit(f"was source reviewed{at_base} and is now "), "now", F.lit(". Examine its source references, direction, and artifact.")))
+        .otherwise("had an import or declared mechanism at the base commit. That evidence is missing now. Examine the flow.")
+    )
+    return both.where(kind.isNotNull()).select("key", kind.alias("kind"), F.concat(kind, head_text, rest).alias("line"))
+
+
+def sequence_measures(steps: DataFrame, journeys: DataFrame, points: DataFrame, covered: DataFrame, flows: DataFrame) -> DataFrame:
+    """(measure, n) of the sequences of a map: how many there are, drafted ones, their steps, flows on no step, ways in and those that no sequence covers.
+
+    steps: journey, flow; journeys: journey, drafted; points: identity; covered: identity; flows: key.
+    """
+    n = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("measure"), "n")
+    parts = [
+        n(journeys, "sequences"), n(journeys.where("drafted"), "drafted sequences"), n(steps, "steps"), n(flows.select("key").distinct().join(steps.select(F.col("flow").alias("key")), "key", "left_anti"), "flows on no step"),
+        n(points.select("identity").distinct(), "ways in"), n(points.select("identity").distinct().join(covered, "identity", "left_anti"), "ways in without a sequence"),
+    ]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found
+
+
+def map_findings(parts: dict[str, DataFrame], prefixes: DataFrame) -> DataFrame:
+    """(map_id, kind, line) of all generators of a tree of maps, with the prefix of each map: (map_id, line) by kind, and prefixes (map_id, prefix)."""
+    found = None
+    for kind, lines in parts.items():
+        own = lines.select("map_id", F.lit(kind).alias("kind"), "line")
+        found = own if found is None else found.unionByName(own)
+    return found.join(prefixes, "map_id", "left").select("map_id", "kind", F.concat(F.coalesce("prefix", F.lit("")), "line").alias("line"))
