@@ -33,7 +33,7 @@ def query(sql: str | None, *rows: int):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import analysis, core, modules, more, states  # noqa: F401
+    from . import analysis, core, modules, more, reviews, states  # noqa: F401
 
     return {n: (lambda spark, sf_dir, q=q: q.run(Tables(spark, sf_dir))) for n, q in QUERIES.items()}
 
