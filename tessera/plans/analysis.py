@@ -163,7 +163,7 @@ def first_causes(x: Tables) -> DataFrame:
     return x.raw("lineitem").groupBy(F.col("l_partkey").alias("path")).agg(F.min_by("l_orderkey", F.struct("l_shipdate", "l_orderkey")).alias("cause"))
 
 
-@query("""select k, package, module, lead(module) over (partition by package order by module) as next from modules""", 174, 430)
+@query("""select k, package, module, lead(module) over (partition by package order by module) as next from modules""")
 def adjacent_names(x: Tables) -> DataFrame:
     return x.modules.select("k", "package", "module", F.lead("module").over(Window.partitionBy("package").orderBy("module")).alias("next"))
 
@@ -217,7 +217,7 @@ def threshold_within_budget(x: Tables) -> DataFrame:
     return metrics.threshold_within(metrics.sweep(x.scores, _grid(x)), 0.3)
 
 
-@query("select event_type, list_sort(list(value))[cast(floor(count(*) * 0.9) as bigint) + 1] as v from events group by event_type", 422)
+@query("select event_type, list_sort(list(value))[cast(floor(count(*) * 0.9) as bigint) + 1] as v from events group by event_type")
 def latency_p90(x: Tables) -> DataFrame:
     return metrics.index_quantile(x.raw("events"), "event_type", "value", 0.9)
 

@@ -30,12 +30,12 @@ def facts_module_lookup(x: Tables) -> DataFrame:
     return x.modules.where("k = 7").select("module", "loc").unionByName(near.select("module", "loc"))
 
 
-@query("select module, unnest(names) as name, 'word' as kind from modules", 57, 58, 70)
+@query("select module, unnest(names) as name, 'word' as kind from modules", 57)
 def facts_names(x: Tables) -> DataFrame:
     return x.modules.select("module", F.explode("names").alias("name"), F.lit("word").alias("kind"))
 
 
-@query("select name as import, string_agg(module, ',' order by module) as modules from (select distinct module, names[2] as name from modules where names[2] in ('gear', 'bolt')) group by name", 13, 60)
+@query("select name as import, string_agg(module, ',' order by module) as modules from (select distinct module, names[2] as name from modules where names[2] in ('gear', 'bolt')) group by name", 13)
 def facts_external(x: Tables) -> DataFrame:
     own = x.modules.select("module", F.get("names", F.lit(1)).alias("import")).where(F.col("import").isin("gear", "bolt")).distinct()
     return own.groupBy("import").agg(F.array_join(F.array_sort(F.collect_list("module")), ",").alias("modules"))
@@ -203,7 +203,7 @@ def snapshot_drift(x: Tables) -> DataFrame:
 
 @query("""select module, how, fields from (select coalesce(a.module, b.module) as module, case when a.module is null then 'added' when b.module is null then 'removed' when a.file is distinct from b.file or a.loc is distinct from b.loc or a.tests_total is distinct from b.tests_total then 'changed' end as how,
 case when a.module is null or b.module is null then '' else concat_ws(',', case when a.file is distinct from b.file then 'file' end, case when a.loc is distinct from b.loc then 'loc' end, case when a.tests_total is distinct from b.tests_total then 'tests_total' end) end as fields
-from base_modules a full join modules b using (module)) where how is not null""", 125, 126, 127, 128, 129, 194)
+from base_modules a full join modules b using (module)) where how is not null""", 125, 194)
 def keyed_diff(x: Tables) -> DataFrame:
     return diff.keyed(x.base_modules, x.modules, ["module"], ["file", "loc", "tests_total"])
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..bindings import Tables
 from ..operators import claims as cl
-from ..operators import decisions, edges, findings
+from ..operators import decisions, diff, edges, findings, metrics, model_checks, shapes
+from ..sources import facts
 from . import analysis, core, more, states  # noqa: F401  their queries are registered first
 from .registry import QUERIES, Query, query
 
@@ -162,3 +163,114 @@ def decision_findings(x: Tables) -> DataFrame:
 select a, b from near where b is not null union select least(module, target), greatest(module, target) from uses where module <> target""", 174, 430)
 def module_pairs(x: Tables) -> DataFrame:
     return decisions.pair_candidates(x.modules, x.uses)
+
+
+# --- checks ------------------------------------------------------------------------------
+# Each module is a facts file of its own, five of six with one fault.
+
+_SCHEMA = {
+    "text": "text", "integer": "integer", "path": "path", "texts": ["list", "text"], "named": {"!name": "text"}, "nameds": ["list", "named"],
+    "module": {"!file": "path", "!functions": "nameds", "!total": "integer", "loc": "integer", "imports": "texts?"}, "modules": ["map plain", "module"], "facts": {"!components": "modules"},
+}
+
+
+@query("""select module as doc, 'the value at ["components"]["' || module || '"]' || case k % 6 when 1 then '["file"] must be a relative path' when 2 then ' has no "total" key' when 3 then '["functions"][1]["name"] must be a text value' when 4 then '["loc"] must be an integer' else '["imports"][0] must be a text value' end as problem from modules where k % 6 <> 0""", 267, 268, 269, 270, 271, 285)
+def shape_problems(x: Tables) -> DataFrame:
+    n = F.col("k") % 6
+    parts = [
+        F.concat(F.lit('"file": "'), F.when(n == 1, "/").otherwise(""), "file", F.lit('"')), F.concat(F.lit(', "functions": [{"name": "f"}, {"name": '), F.when(n == 3, "5").otherwise('"g"'), F.lit("}]")),
+        F.when(n == 2, "").otherwise(', "total": 1'), F.concat(F.lit(', "loc": '), F.when(n == 4, '"x"').otherwise(F.col("loc").cast("string"))), F.when(n == 5, ', "imports": [1]').when(n == 0, ', "imports": null').otherwise(', "imports": ["a"]'),
+    ]
+    content = F.concat(F.lit('{"components": {"'), "module", F.lit('": {'), *parts, F.lit("}}}"))
+    return shapes.first_problem(shapes.problems(x.modules.select(F.col("module").alias("doc"), content.alias("content")), _SCHEMA, "facts"))
+
+
+# The flows of a card are on one of three maps; two of five have no id, some share one, and
+# every sixth is there twice.
+
+_DRAWN = """+ drawn as (select cast(length(src) % 3 as varchar) as map_id, pos * 2 + n as pos, case when pos % 5 < 2 then '' when pos % 5 = 2 then 'shared' else 'f' || pos || case when pos % 9 = 0 then ' odd' else '' end || case when n = 1 then 'b' else '' end end as id, src, dst, 'a' || n as artifact
+  from flows, range(2) r(n) where n = 0 or pos % 6 = 0)
+"""
+
+
+@query(_DRAWN + """select map_id, 'flow id' as check, 'flow ' || src || ' -> ' || dst || ' has the id ''' || id || '''. An id contains only letters, digits, ''_'', ''.'', and ''-''. It starts with a letter, a digit, or ''_''' as line from drawn where id <> '' and not regexp_full_match(id, '[A-Za-z0-9_][A-Za-z0-9_.-]*')
+union all select map_id, 'flow id', 'flow id ' || id || ' identifies two flows. Give each flow its own id' from (select *, row_number() over (partition by map_id, id order by pos) as m from drawn where id <> '') where m > 1
+union all select map_id, 'flow pair', 'flow ' || src || ' -> ' || dst || ' appears twice (''a0'' and ''a1''). Give each flow on this pair its own id. For an artifact that goes back, add a flow in the opposite direction' from drawn group by map_id, src, dst having count(*) > 1 and not bool_and(id <> '')""", 275, 276, 282, 283)
+def flow_check_lines(x: Tables) -> DataFrame:
+    p, n = F.col("pos"), F.col("n")
+    twice = x.flows.withColumn("n", F.explode(F.when(p % 6 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    own = F.concat(F.lit("f"), p.cast("string"), F.when(p % 9 == 0, " odd").otherwise(""), F.when(n == 1, "b").otherwise(""))
+    drawn = twice.select((F.length("src") % 3).cast("string").alias("map_id"), (p * 2 + n).alias("pos"), F.when(p % 5 < 2, "").when(p % 5 == 2, "shared").otherwise(own).alias("id"), "src", "dst", F.concat(F.lit("a"), n.cast("string")).alias("artifact"))
+    return model_checks.flow_problems(drawn)
+
+
+@query("""+ rules as (select pos, case when pos % 4 = 0 then 'same' else 'r' || pos end as id, case when pos % 5 = 0 then 'other' else 'forbid_import' end as kind, id as a, case when pos % 3 = 0 then 'Nobody' else 'Large' end as b, pos % 9 as invariant from components)
+select 'import rule' as check, id || ' is the id of two rules. Give each rule its own id' as line from (select *, row_number() over (partition by id order by pos) as n from rules) where n > 1 union all select 'import rule', id || ' has unknown kind other. Use forbid_import, allow_imports' from rules where kind = 'other'
+union all select 'import rule', id || ' has unknown component Nobody' from rules where b = 'Nobody' and kind <> 'other' union all select 'import rule', id || ' has unknown invariant ' || invariant from rules where invariant > 4
+union all select 'meaning', id || ' has no plain word' from components where pos % 4 = 1 union all select 'meaning', 'flow ' || key || ' has no sentence in relations' from flows where trim(relation) = '' union all select 'meaning', 'flow ' || key || ' has unknown layer control' from flows where kind = 'control'
+union all select 'boundary', 'region ' || kind || ' has the id of a container. Give each region and container a different id' from (select distinct kind from components where kind <> 'tool')""", 273, 274, 277, 278, 452)
+def model_check_lines(x: Tables) -> DataFrame:
+    p, top = F.col("pos"), F.lit("").alias("map_id")
+    rules = x.components.select(top, "pos", F.when(p % 4 == 0, "same").otherwise(F.concat(F.lit("r"), p.cast("string"))).alias("id"), F.when(p % 5 == 0, "other").otherwise("forbid_import").alias("kind"), F.array("id").alias("src"), F.array(F.when(p % 3 == 0, "Nobody").otherwise("Large")).alias("dst"), (p % 9).alias("invariant"))
+    components = x.components.select(top, "id")
+    found = model_checks.rule_problems(rules, components, x.spark.range(5).select(top, F.col("id").alias("n")))
+    flows = x.flows.select(top, F.col("key").alias("name"), "relation", F.col("kind").alias("layer"), "kind")
+    layers = x.spark.range(1).select(top, F.lit("data").alias("id"))
+    found = found.unionByName(model_checks.meaning_problems(flows, components, x.components.where("pos % 4 <> 1").select(top, "id"), layers))
+    kinds = x.components.select(top, "kind").distinct()
+    boundaries = kinds.select("map_id", F.lit(1).alias("pos"), F.lit("region").alias("kind"), F.col("kind").alias("id")).unionByName(kinds.where("kind <> 'tool'").select("map_id", F.lit(1).alias("pos"), F.lit("container").alias("kind"), F.col("kind").alias("id")))
+    return found.unionByName(model_checks.boundary_problems(boundaries)).select("check", "line")
+
+
+# --- comparisons ---------------------------------------------------------------------------
+# The base has no flow with pos % 10 = 3, other sentences on pos % 7 = 2, and other kinds on
+# pos % 11 = 5; rules govern the cards of their number, at the base without the last one.
+
+
+@query("""+ a as (select key, case when pos % 11 = 5 then 'old' else kind end as kind, case when pos % 7 = 2 then 'old ' || relation else relation end as relation from flows where pos % 10 <> 3), b as (select key, kind, relation from flows where pos % 13 <> 4),
+f as (select 'flow' as what, coalesce(a.key, b.key) as item, case when a.key is null then 'added' when b.key is null then 'removed' when a.kind <> b.kind or a.relation <> b.relation then 'changed' end as how, case when a.key is null or b.key is null then '' else concat_ws(',', case when a.kind <> b.kind then 'kind' end, case when a.relation <> b.relation then 'relation' end) end as fields from a full join b on a.key = b.key),
+gov as (select pos % 9 as n, list_sort(list(id)) as now, list_sort(list(id)[:]) as was from components group by 1),
+r as (select 'rule' as what, cast(n as varchar) as item, case when n = 8 then 'removed' when n = 7 then 'added' when n % 2 = 0 then 'changed' end as how, case when n % 2 = 0 and n < 7 then 'governs' else '' end as fields from gov),
+s as (select 'sequence' as what, cast(journey as varchar) as item, 'changed' as how, 'steps' as fields from (select conv_id as journey, count(*) as n, count(*) filter (turn % 5 <> 4) as m from conversations group by conv_id) where n <> m)
+select what, item, how, fields from (select * from f union all select * from r union all select * from s) where how is not null""", 126, 127, 128, 129)
+def compared_models(x: Tables) -> DataFrame:
+    p = F.col("pos")
+    base = x.flows.where("pos % 10 <> 3").select(F.col("key").alias("item"), F.when(p % 11 == 5, "old").otherwise(F.col("kind")).alias("kind"), F.when(p % 7 == 2, F.concat(F.lit("old "), "relation")).otherwise(F.col("relation")).alias("relation"))
+    head = x.flows.where("pos % 13 <> 4").select(F.col("key").alias("item"), "kind", "relation")
+    flows = diff.keyed(base, head, ["item"], ["kind", "relation"]).withColumn("what", F.lit("flow"))
+    rules = x.components.groupBy((p % 9).alias("n")).agg(F.array_sort(F.collect_list("id")).alias("governs"))
+    named = F.col("n").cast("string").alias("item")
+    was = rules.where("n <> 7").select(named, F.when(F.col("n") % 2 == 0, F.concat("governs", F.array(F.lit("Extra")))).otherwise(F.col("governs")).alias("governs"))
+    rules = diff.keyed(was, rules.where("n <> 8").select(named, "governs"), ["item"], ["governs"]).withColumn("what", F.lit("rule"))
+    steps = lambda df: df.groupBy(F.col("conv_id").cast("string").alias("item")).agg(F.array_sort(F.collect_list("turn")).alias("steps"))
+    talks = x.raw("conversations").select("conv_id", "turn")
+    all_steps = steps(talks)
+    fewer = steps(talks.where("turn % 5 <> 4"))
+    sequences = diff.keyed(fewer, all_steps, ["item"], ["steps"]).withColumn("what", F.lit("sequence"))
+    return flows.unionByName(rules).unionByName(sequences).select("what", "item", "how", "fields")
+
+
+@query("select event_type, count(*) as n, median(value) as median, max(value) as most, list_sort(list(value))[cast(floor(count(*) * 0.5) as bigint) + 1] as p50, list_sort(list(value))[cast(floor(count(*) * 0.9) as bigint) + 1] as p90 from events group by event_type", 422)
+def usage_quantiles(x: Tables) -> DataFrame:
+    e = x.raw("events")
+    by = e.groupBy("event_type").agg(F.count("*").alias("n"), F.median("value").alias("median"), F.max("value").alias("most"))
+    at = lambda q, name: metrics.index_quantile(e, "event_type", "value", q).withColumnRenamed("v", name)
+    return by.join(at(0.5, "p50"), "event_type").join(at(0.9, "p90"), "event_type")
+
+
+@query("select name as import, string_agg(module, ',' order by module) as modules from (select distinct module, unnest(names) as name from modules) group by name", 60)
+def external_imports(x: Tables) -> DataFrame:
+    """Every name with the modules that import it."""
+    return x.modules.select("module", F.explode(F.array_distinct("names")).alias("import")).groupBy("import").agg(F.array_join(F.array_sort(F.collect_list("module")), ",").alias("modules"))
+
+
+@query("""select module, n.name, n.kind from (select module, unnest(case when k % 3 = 0 then list_transform(names, lambda w: {'name': w, 'kind': 'word'}) when k % 3 = 1 then list_transform(names[:2], lambda w: {'name': w, 'kind': 'function'}) || list_transform(names[3:], lambda w: {'name': w, 'kind': 'class'})
+  else list_transform(names[2:], lambda w: {'name': w, 'kind': 'error'}) end) as n from modules)""", 58, 70)
+def names_of_any_schema(x: Tables) -> DataFrame:
+    """Names with their kinds: from the list of names, or in older records from the lists of each kind."""
+    k, none = F.col("k") % 3, F.lit(None).cast("array<string>")
+    old = x.modules.select(
+        "module", F.when(k == 0, F.transform("names", lambda n: F.struct(n.alias("name"), F.lit("word").alias("kind")))).alias("names"), F.when(k == 1, F.slice("names", 1, 2)).otherwise(none).alias("functions"),
+        F.when(k == 1, F.expr("slice(names, 3, size(names))")).otherwise(none).alias("classes"), F.when(k == 2, F.expr("slice(names, 2, size(names))")).otherwise(none).alias("errors"),
+    )
+    return facts.public_names(old)

@@ -264,7 +264,7 @@ def json_props(x: Tables) -> DataFrame:
 
 @query("""select 'duplicate pair' as problem, src || '->' || dst as subject from (select least(src, dst) as src, greatest(src, dst) as dst from flows group by 1, 2 having count(*) > 1)
 union all select 'unknown kind', id from components where kind not in ('component', 'store', 'actor', 'agent', 'tool')
-union all select 'no flow', id from components where id not in (select src from flows union select dst from flows)""", 273, 274, 275, 276, 277, 278, 282, 283, 452)
+union all select 'no flow', id from components where id not in (select src from flows union select dst from flows)""")
 def model_problems(x: Tables) -> DataFrame:
     twice = x.flows.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).count().where("count > 1").select(F.lit("duplicate pair").alias("problem"), F.concat("a", F.lit("->"), "b").alias("subject"))
     kinds = x.components.where(~F.col("kind").isin("component", "store", "actor", "agent", "tool")).select(F.lit("unknown kind").alias("problem"), F.col("id").alias("subject"))
@@ -273,7 +273,7 @@ def model_problems(x: Tables) -> DataFrame:
     return twice.unionByName(kinds).unionByName(alone)
 
 
-@query("""select k, case when docstring = '' then '$.docstring: empty' when not parsed then '$.parsed: false' when unresolved is null then '$.unresolved: null' when len([n for n in names if n = 'red']) > 0 then '$.names: reserved' end as problem from modules where docstring = '' or not parsed or unresolved is null or len([n for n in names if n = 'red']) > 0""", 267, 268, 269, 270, 271, 285)
+@query("""select k, case when docstring = '' then '$.docstring: empty' when not parsed then '$.parsed: false' when unresolved is null then '$.unresolved: null' when len([n for n in names if n = 'red']) > 0 then '$.names: reserved' end as problem from modules where docstring = '' or not parsed or unresolved is null or len([n for n in names if n = 'red']) > 0""")
 def record_problems(x: Tables) -> DataFrame:
     """The first problem of each record, by path."""
     found = F.when(F.col("docstring") == "", "$.docstring: empty").when(~F.col("parsed"), "$.parsed: false").when(F.col("unresolved").isNull(), "$.unresolved: null").when(F.exists("names", lambda n: n == "red"), "$.names: reserved")

@@ -32,3 +32,18 @@ def strip_comments(text):
     """Column: JSON without // and /* */ comments outside strings and without trailing commas."""
     bare = F.regexp_replace(text, r'("(?:[^"\\]|\\.)*+")|//[^\n]*|/\*[\s\S]*?\*/', "$1")
     return F.regexp_replace(bare, r'("(?:[^"\\]|\\.)*+")|,(?=\s*[}\]])', "$1")
+
+
+#: Lists of names by kind, as records of older schemas have them.
+OLDER = {"functions": "function", "classes": "class", "errors": "error", "types": "type", "constants": "constant"}
+
+
+def public_names(records: DataFrame) -> DataFrame:
+    """(module, name, kind) of records: from ``names`` (name, kind), or where that is null from the lists of each kind that the records have."""
+
+    def of(column: str, kind: str):
+        return F.transform(F.coalesce(F.col(column), F.array().cast("array<string>")), lambda n: F.struct(n.alias("name"), F.lit(kind).alias("kind")))
+
+    lists = [of(c, kind) for c, kind in OLDER.items() if c in records.columns]
+    own = F.coalesce("names", F.concat(*lists)) if lists else F.col("names")
+    return records.select("module", F.explode(own).alias("n")).select("module", "n.name", "n.kind")
