@@ -124,7 +124,7 @@ QUERIES["all_finding_lines"] = Query("all_finding_lines", all_finding_lines, _wh
 _ASKED = """+ p as (select *, round((length(module) * 7 + length(owner) * 13) % 101 / 100.0, 2) as p from owner join components on id = owner where kind <> 'actor' and module not in (select module from modules where k % 29 = 0)),
 free as (select module, round(length(module) * 11 % 101 / 100.0, 2) as c from modules where module not in (select module from owner) and k % 29 <> 0),
 sent as (select distinct owner, round(length(owner) * 9 % 101 / 100.0, 2) as p from p),
-act as (select id from components where kind = 'actor'), asked as (select key, round(length(key) * 5 % 101 / 100.0, 2) as p from flows where src not in (select id from act) and dst not in (select id from act) and exists (select 1 from crossing c where (c.p = src and c.q = dst) or (c.p = dst and c.q = src))),
+act as (select id from components where kind = 'actor'), jn as (select distinct least(p, q) as a, greatest(p, q) as b from crossing), asked as (select key, round(length(key) * 5 % 101 / 100.0, 2) as p from flows where src not in (select id from act) and dst not in (select id from act) and exists (select 1 from jn where a = least(src, dst) and b = greatest(src, dst))),
 inv as (select pos % 9 as n, list(distinct id) as governs from components group by pos % 9), gov as (select i.n, c.id, round((i.n * 17 + length(c.id) * 3) % 101 / 100.0, 2) as p from inv i join components c on kind <> 'actor' and not list_contains(governs, c.id))
 """
 
