@@ -15,10 +15,10 @@ FUNCTIONS = {
     "sources.syntax.tables": (4,),
     "operators.workspace.package_roots": (2,),
     "operators.workspace.members": (3,),
-    "sources.python_source.extract": (10, 11, 14, 18, 24, 314, 450),
+    "sources.python_source.extract": (10, 11, 14, 24, 314, 450),
     "sources.python_source.uses": (12, 27),
     "sources.python_source.external": (13,),
-    "sources.syntax.nodes": (24,),
+    "sources.syntax.nodes": (18,),
     "operators.ways_in.in_project": (19,),
     "operators.ways_in.all_ways": (17,),
     "sources.facts.read": (36, 50, 52, 53),
@@ -31,8 +31,15 @@ FUNCTIONS = {
     "functions.text.overlap_area": (259,),
     "functions.text.polyline_length": (261,),
     "streaming.live.debounce_stream": (290, 291, 292),
-    "streaming.live.follow_batches": (293, 294, 295, 297),
+    "streaming.live.follow_batches": (294,),
     "operators.review.submit": (287, 309),
+    "operators.decisions.answer_problems": (288,),
+    "operators.decisions.spread": (322,),
+    "operators.decisions.refused": (323,),
+    "operators.drafts.read_answers": (349,),
+    "sources.snapshots.SnapshotStore.files": (37, 47),
+    "sources.snapshots.SnapshotStore.model": (42,),
+    "streaming.events.fold_stream": (293, 295, 297),
     "operators.diff.keyed": (122, 123, 188, 284),
     "operators.diff.surface": (191, 192),
     "operators.claims.sdk_of": (31, 79),
