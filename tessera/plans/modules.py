@@ -243,7 +243,7 @@ own as (select k, 'target' as name, 't' || k as value from modules where k % 3 =
 walk as (with recursive w(k, spot, rank, n) as (select k, k, cast([] as bigint[]), 0 from modules union all select w.k, l.parent, list_append(w.rank, l.step), n + 1 from w join last_ l on l.k = w.spot where n < 16 and w.spot % 50 not in (21, 22)) select * from w),
 bad as (select distinct k from walk where spot % 50 in (21, 22)),
 best as (select w.k, o.name, arg_min({'v': o.value, 'spot': w.spot}, w.rank) as v from walk w join own o on o.k = w.spot where w.k not in (select k from bad) group by w.k, o.name)
-select k as path, name, v.v as value, v.spot as given_by from best union all select k, 'problem', 'circular', cast(null as bigint) from bad""", 28, 29)
+select k as path, name, v.v as value, v.spot as given_by from best union all select k, 'problem', 'circular', cast(-1 as bigint) from bad""", 28, 29)
 def inherited_settings(x: Tables) -> DataFrame:
     k = F.col("k")
     pair = (k % 50).isin(21, 22)
@@ -254,7 +254,7 @@ def inherited_settings(x: Tables) -> DataFrame:
     own = x.modules.select(k.alias("path"), named).select("path", "name", "value")
     found, problems = settings.effective(extends, own, x.modules.select(k.alias("path")))
     circular = problems.where("startswith(cause, 'a circular')").select("path").distinct()
-    return found.unionByName(circular.select("path", F.lit("problem").alias("name"), F.lit("circular").alias("value"), F.lit(None).cast("bigint").alias("given_by")))
+    return found.unionByName(circular.select("path", F.lit("problem").alias("name"), F.lit("circular").alias("value"), F.lit(-1).cast("bigint").alias("given_by")))
 
 
 _LEAVES = (
