@@ -10,6 +10,7 @@ from ..bindings import Tables
 from ..functions import text as t
 from ..operators import claims as cl
 from ..operators import edges, findings, review
+from ..scratch import cut
 from ..streaming import live
 from .registry import query
 
@@ -20,7 +21,7 @@ answers as (select 'item' as selector, line as value, case when length(q) % 2 =
 
 def _lines(x: Tables) -> tuple[DataFrame, DataFrame]:
     open_ = edges.without_flow(edges.crossing(x.uses, cl.owners(x.claims, x.modules)), x.flows).select("p", "q").distinct()
-    lines = open_.select(F.concat(F.lit("crossing import: "), "p", F.lit(" imports "), "q").alias("line"), F.lit("crossing import").alias("kind"), "p", "q", F.lit(None).cast("string").alias("sdk"), F.sha2(F.concat("p", "q"), 256).alias("evidence"))
+    lines = cut(open_.select(F.concat(F.lit("crossing import: "), "p", F.lit(" imports "), "q").alias("line"), F.lit("crossing import").alias("kind"), "p", "q", F.lit(None).cast("string").alias("sdk"), F.sha2(F.concat("p", "q"), 256).alias("evidence")))  # read once for each selector
     item = lambda value, ev: [F.lit("item").alias("selector"), value.alias("value"), ev.alias("evidence"), F.lit(False).alias("policy")]
     items = lines.where("length(p) % 3 = 0").select(*item(F.col("line"), F.when(F.length("q") % 2 == 0, F.col("evidence")).otherwise("old")))
     gone = lines.where("p = 'Large'").select(*item(F.concat(F.lit("gone: "), "p"), F.col("evidence")))
