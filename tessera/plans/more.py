@@ -255,7 +255,9 @@ def rewritten_lines(x: Tables) -> DataFrame:
 
 @query("select package, replace(package, '.', '/') as parent, count(*) as n from modules group by package", 266)
 def common_parents(x: Tables) -> DataFrame:
-    return x.modules.groupBy("package").agg(t.common_parent(F.array_sort(F.collect_list("file"))).alias("parent"), F.count("*").alias("n"))
+    # What the first and the last file in order share, all between them share.
+    ends = F.array_compact(F.array(F.min("file"), F.max("file")))
+    return x.modules.groupBy("package").agg(t.common_parent(ends).alias("parent"), F.count("*").alias("n"))
 
 
 @query("""+ d as (select coalesce(a.module, b.module) as module, case when a.module is null then 'added' when b.module is null then 'gone' when a.sha <> b.sha then 'changed' end as change from base_modules a full join modules b using (module))
