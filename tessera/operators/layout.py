@@ -46,10 +46,21 @@ def overlapping_boxes(boxes: DataFrame, cell: int) -> DataFrame:
 
 
 def peaks(spans: DataFrame, by: str) -> DataFrame:
-    """Per group, the most spans that any one span overlaps, itself included (not a sweep maximum)."""
-    a, b = spans.select(by, F.col("id").alias("i"), F.col("lo").alias("alo"), F.col("hi").alias("ahi")), spans.select(by, "lo", "hi")
-    count = a.join(b, by).where("lo < ahi and alo < hi").groupBy(by, "i").agg(F.count("*").alias("n"))
-    return count.groupBy(by).agg(F.max("n").alias("peak"))
+    """Per group, the most spans (lo <= hi) that any one span overlaps, itself included (not a sweep maximum).
+
+    A span overlaps those that begin before its end, without those that end up
+    to its start: two running counts over the places of a group, so no pair of
+    spans is made. An empty span is in the second count of its own place only.
+    """
+    whole = spans.where("lo is not null and hi is not null").groupBy(by, "lo", "hi").agg(F.count("*").alias("k"))
+    point = lambda v, begin, end, empty: F.struct(F.col(v).alias("v"), begin.alias("begin"), end.alias("end"), empty.alias("empty"))
+    none, k = F.lit(0).cast("long"), F.col("k")
+    places = whole.select(by, F.inline(F.array(point("lo", k, none, F.when(F.col("lo") == F.col("hi"), k).otherwise(none)), point("hi", none, k, none)))).groupBy(by, "v").agg(F.sum("begin").alias("begin"), F.sum("end").alias("end"), F.sum("empty").alias("empty"))
+    upto = Window.partitionBy(by).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    told = places.select(by, "v", (F.sum("begin").over(upto) - F.col("begin")).alias("begun"), F.sum("end").over(upto).alias("ended"), "empty")
+    begun, ended = told.select(by, F.col("v").alias("hi"), "begun"), told.select(by, F.col("v").alias("lo"), "ended", "empty")
+    n = F.col("begun") - F.col("ended") + F.when(F.col("lo") == F.col("hi"), F.col("empty")).otherwise(0)
+    return whole.join(begun, [by, "hi"]).join(ended, [by, "lo"]).withColumn("n", n).where("n > 0").groupBy(by).agg(F.max("n").alias("peak"))
 
 
 def _cells(low, high, cell: int):

@@ -25,3 +25,16 @@ def test_common_parents_gather_no_files(spark):
     assert "collect_list" not in plan(found)
     files = spark.createDataFrame([("a/b/c.py",), ("a/b-d/c.py",), ("a/bc/x/y.py",)], "file string")
     assert files.agg(t.common_parent(F.array(F.min("file"), F.max("file"))).alias("p")).first().p == "a"
+
+
+def test_peaks_make_no_pairs(spark):
+    dice = random.Random(3)
+    spans = [(f"g{i % 3}", i, lo := dice.randrange(30), lo + dice.choice([0, 0, 1, 4, 9])) for i in range(200)] + [("alone", 900, 5, 5), ("two", 901, 1, 2), ("two", 902, 2, 3)]
+    found = layout.peaks(spark.createDataFrame(spans, "by string, id long, lo long, hi long"), "by")
+    real = {}
+    for g, i, lo, hi in spans:
+        n = sum(g == g2 and lo2 < hi and lo < hi2 for g2, _, lo2, hi2 in spans)
+        real[g] = max(real.get(g, 0), n)
+    assert rows(found, "by", "peak") == sorted((g, n) for g, n in real.items() if n)
+    many = spark.range(60_000).selectExpr("'g' as by", "id", "id % 50 as lo", "id % 50 + 1 + id % 7 as hi")  # 3.6 billion pairs
+    assert layout.peaks(many, "by").first().peak > 1200
