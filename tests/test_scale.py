@@ -38,3 +38,14 @@ def test_peaks_make_no_pairs(spark):
     assert rows(found, "by", "peak") == sorted((g, n) for g, n in real.items() if n)
     many = spark.range(60_000).selectExpr("'g' as by", "id", "id % 50 as lo", "id % 50 + 1 + id % 7 as hi")  # 3.6 billion pairs
     assert layout.peaks(many, "by").first().peak > 1200
+
+
+def test_module_groups_join_no_package_with_itself(spark):
+    found = registry.queries()["module_groups"](spark, SF)
+    k = [(r.k, r.package) for r in Tables(spark, SF).modules.select("k", "package").collect()]
+    least, last = {}, {}
+    for n, package in sorted(k):
+        before = last.get(package)
+        least[n] = least[before] if before is not None and n - before < 40 else n
+        last[package] = n
+    assert rows(found, "node", "component") == sorted(least.items())
