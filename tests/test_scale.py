@@ -49,3 +49,25 @@ def test_module_groups_join_no_package_with_itself(spark):
         least[n] = least[before] if before is not None and n - before < 40 else n
         last[package] = n
     assert rows(found, "node", "component") == sorted(least.items())
+
+
+SIDE = "module string, sha string, names array<string>, file string"
+
+
+def test_content_moves_ask_for_content_only(spark):
+    gone = spark.createDataFrame([("a", "1", ["x", "y"], "p/a.py"), ("b", "2", ["x", "y"], "p/b.py")], SIDE)
+    new = spark.createDataFrame([("c", "1", ["z"], "q/c.py"), ("d", "9", ["x", "y"], "q/b.py")], SIDE)
+    assert rows(moves.find(gone, new, 1), "old", "new", "how") == [("a", "c", moves.HOW[0])]
+    assert rows(moves.candidates(gone, new, 1), "old", "cand", "rank") == [("a", "c", 0)]
+
+
+def test_overlaps_come_from_needed_names(spark):
+    """2,000 modules that share one name on each side: four million pairs by that name, none of them alike enough."""
+    name = lambda i: ["common", *[f"n{i}_{j}" for j in range(4)]]
+    gone = [(f"o{i}", "-", name(i), f"o/f{i}.py") for i in range(2000)]
+    new = [(f"n{i}", "+", [*name(i), "more"], f"n/f{i}.py") for i in range(2000)]
+    same = [("twice", "-", ["r", "r"], "o/twice.py")], [("once", "+", ["r"], "n/twice.py")]
+    found = moves.find(spark.createDataFrame(gone + same[0], SIDE), spark.createDataFrame(new + same[1], SIDE))
+    assert rows(found, "old", "new", "how") == sorted([(f"o{i}", f"n{i}", moves.HOW[2]) for i in range(2000)] + [("twice", "once", moves.HOW[2])])
+    side = spark.createDataFrame(gone[:3], SIDE)
+    assert not rows(moves.candidates(side, side.limit(0)), "old", "cand")
