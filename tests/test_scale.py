@@ -71,3 +71,10 @@ def test_overlaps_come_from_needed_names(spark):
     assert rows(found, "old", "new", "how") == sorted([(f"o{i}", f"n{i}", moves.HOW[2]) for i in range(2000)] + [("twice", "once", moves.HOW[2])])
     side = spark.createDataFrame(gone[:3], SIDE)
     assert not rows(moves.candidates(side, side.limit(0)), "old", "cand")
+
+
+def test_growing_tables_are_not_broadcast(spark):
+    """Their compressed files are small, their rows are not."""
+    for name in ("flows_without_endpoint_source", "crossed_boxes", "module_owners"):
+        joins = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in "\n".join(row for row in joins.split("\n") if "head#" in row or "across#" in row or "pattern#" in row), name
