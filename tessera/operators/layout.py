@@ -144,26 +144,30 @@ def place_labels(candidates: DataFrame, obstacles: DataFrame, gap: float, cell:
     """(by, id, n): for each label the place that a greedy walk gives it: labels by ``rank``, places by n, the first that is free.
 
     candidates: by, id, rank (of the label, unique in its figure), n, x, y, w, h; obstacles: by, x,
-    y, w, h. A label without a free place has no row. In a round a place is
-    taken if it is the first of its label and of all places that it conflicts
-    with; what conflicts with it goes. That is the walk's result, as a place is
-    only decided by those before it, but all figures, and all parts of a
-    figure that don't touch, go on at once.
+    y, w, h. A label without a free place has no row. Places that conflict
+    share a grid cell, so in a round a place is taken if it is the first of its
+    label and the first of all in each of its cells; what conflicts with it
+    goes. That is the walk's result, as a place is only decided by those before
+    it, but all figures, and all parts of a figure that don't touch, go on at
+    once, and no table of conflicts is made: of a cell only its first place is
+    looked at, and only taken places meet others.
     """
-    key = ["by", "id", "n"]
-    order = F.struct("rank", "n").alias("order")
-    own = candidates.select(*key, order, "x", "y", "w", "h")
-    blocked = _meeting(own, obstacles.select("by", "x", "y", "w", "h"), cell).select(*key).distinct()
-    free = cut(own.join(blocked, key, "left_anti"))
-    padded = free.select("by", "id", "n", "order", (F.col("x") - gap).alias("x"), (F.col("y") - gap).alias("y"), (F.col("w") + 2 * gap).alias("w"), (F.col("h") + 2 * gap).alias("h"))
-    conflicts = cut(_meeting(padded, free, cell).where("id <> b_id").select(*key, "b_id", "b_n", F.col("b_order").alias("b_order")))
-    live, taken = free.select(*key, "order"), None
+    key, box = ["by", "id", "n"], ["by", "x", "y", "w", "h"]
+    own = candidates.select(*key, "rank", "x", "y", "w", "h")
+    blocked = _meeting(own.select(*box).distinct(), obstacles.select(*box).distinct(), cell).select(*box).distinct()  # equal places fare alike
+    live, taken = cut(own.join(blocked, box, "left_anti")), None
+    span = lambda v, s: [F.floor((F.col(v) - gap) / cell), F.floor((F.col(v) + F.col(s) + gap) / cell)]
     while not live.isEmpty():
-        first = live.groupBy("by", "id").agg(F.min("order").alias("order"))
-        open_ = conflicts.join(live.select(*key), key, "left_semi").join(live.select("by", F.col("id").alias("b_id"), F.col("n").alias("b_n")), ["by", "b_id", "b_n"], "left_semi")
-        before = open_.groupBy(*key).agg(F.min("b_order").alias("rival"))
-        now = cut(live.join(first, ["by", "id", "order"]).join(before, key, "left").where("rival is null or order < rival").select(*key))
-        taken = now if taken is None else taken.unionByName(now)
-        hit = conflicts.join(now, key, "left_semi").select("by", F.col("b_id").alias("id"), F.col("b_n").alias("n")).distinct()
-        live = cut(live.join(now.select("by", "id"), ["by", "id"], "left_anti").join(hit, key, "left_anti"))
+        (x0, x1), (y0, y1) = span("x", "w"), span("y", "h")
+        place = F.struct("rank", "n", "id", "x", "y", "w", "h", "cells").alias("place")
+        dealt = live.withColumn("cells", (x1 - x0 + 1) * (y1 - y0 + 1)).select("by", place, F.explode(F.sequence(x0, x1)).alias("cx"), F.sequence(y0, y1).alias("ys")).select("by", "place", "cx", F.explode("ys").alias("cy"))
+        firsts = dealt.groupBy("by", "cx", "cy").agg(F.min("place").alias("place"))
+        alone = firsts.groupBy("by", "place").agg(F.count("*").alias("k")).where(F.col("k") == F.col("place.cells")).select("by", "place.*")
+        label = live.groupBy("by", "id").agg(F.min("n").alias("n"))
+        now = cut(alone.join(label, key).select(*key, "x", "y", "w", "h"))
+        taken = now.select(*key) if taken is None else taken.unionByName(now.select(*key))
+        rest = live.join(now.select("by", "id"), ["by", "id"], "left_anti")
+        padded = now.select("by", (F.col("x") - gap).alias("x"), (F.col("y") - gap).alias("y"), (F.col("w") + 2 * gap).alias("w"), (F.col("h") + 2 * gap).alias("h"))
+        hit = _meeting(rest.select(*box).distinct(), padded, cell).select(*box).distinct()
+        live = cut(rest.join(hit, box, "left_anti"))
     return candidates.select(*key).limit(0) if taken is None else taken
