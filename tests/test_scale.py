@@ -78,3 +78,9 @@ def test_growing_tables_are_not_broadcast(spark):
     for name in ("flows_without_endpoint_source", "crossed_boxes", "module_owners"):
         joins = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" not in "\n".join(row for row in joins.split("\n") if "head#" in row or "across#" in row or "pattern#" in row), name
+
+
+def test_labels_of_equal_rank_end(spark):
+    """Two labels that want one place and have one rank: neither is before the other, so a rule by rank alone takes none and goes on for ever."""
+    both = spark.createDataFrame([("g", i, 1, 1, 0, 0, 10, 8) for i in (1, 2)], "by string, id long, rank long, n long, x long, y long, w long, h long")
+    assert rows(layout.place_labels(both, both.limit(0), 3, 50), "by", "id", "n") == [("g", 1, 1)]
