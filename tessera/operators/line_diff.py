@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import cut
+from ..scratch import cut, release
 
 #: Unchanged lines around a change.
 CONTEXT = 3
@@ -79,10 +79,15 @@ def _regapped(side: DataFrame, n: str, pairs: DataFrame) -> DataFrame:
 
 
 def matched(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pairs, removed, added): pairs (path, i, j) of lines (path, n, line) that stay, and the others with their gap."""
+    """(pairs, removed, added): pairs (path, i, j) of lines (path, n, line) that stay, and the places of the others (path, i or j) with their gap.
+
+    The rounds hold a line of 32 bytes or more by its SHA-256, and a round's
+    tables are deleted when the next ones are written.
+    """
     start = F.lit(-1).cast("long")
-    old = cut(old.select("path", F.col("n").alias("i"), "line", start.alias("gap")))
-    new = cut(new.select("path", F.col("n").alias("j"), "line", start.alias("gap")))
+    told = F.when(F.octet_length("line") < 32, F.col("line").cast("binary")).otherwise(F.unhex(F.sha2("line", 256))).alias("line")
+    old = cut(old.select("path", F.col("n").alias("i"), told, start.alias("gap")))
+    new = cut(new.select("path", F.col("n").alias("j"), told, start.alias("gap")))
     pairs = None
     while True:
         found = 0
@@ -92,26 +97,30 @@ def matched(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame, DataF
                 continue
             found += 1
             pairs = taken if pairs is None else pairs.unionByName(taken)
-            old, new = cut(_regapped(old, "i", taken)), cut(_regapped(new, "j", taken))
+            before, old, new = (old, new), cut(_regapped(old, "i", taken)), cut(_regapped(new, "j", taken))
+            for side in before:
+                release(side)
         if not found:
             break
     if pairs is None:
         pairs = old.select("path", "i", F.col("i").alias("j")).limit(0)
-    return pairs, old, new
+    return pairs, old.select("path", "i", "gap"), new.select("path", "j", "gap")
 
 
 def hunks(old: DataFrame, new: DataFrame, context: int = CONTEXT) -> DataFrame:
     """Hunks of the differences between files old and new (path, text): places from 0, lines marked with a blank, ``-`` or ``+``."""
-    before, after = cut(numbered_lines(old)), cut(numbered_lines(new))
+    before, after = numbered_lines(old), numbered_lines(new)
     pairs, removed, added = matched(before, after)
-    kept = pairs.join(before.withColumnRenamed("n", "i"), ["path", "i"]).select("path", F.col("i").alias("gap"), F.lit(0).alias("kind"), F.col("i").alias("n"), F.concat(F.lit(" "), "line").alias("line"))
-    gone = removed.select("path", "gap", F.lit(1).alias("kind"), F.col("i").alias("n"), F.concat(F.lit("-"), "line").alias("line"))
-    come = added.select("path", "gap", F.lit(2).alias("kind"), F.col("j").alias("n"), F.concat(F.lit("+"), "line").alias("line"))
+    # Texts meet their places here only: old lines once, new ones if they are added.
+    stay = pairs.select("path", "i", F.col("i").alias("gap"), F.lit(0).alias("kind")).unionByName(removed.withColumn("kind", F.lit(1)))
+    mark = F.when(F.col("kind") == 0, " ").otherwise("-")
+    both = stay.join(before.withColumnRenamed("n", "i"), ["path", "i"]).select("path", "gap", "kind", F.col("i").alias("n"), F.concat(mark, "line").alias("line"))
+    come = added.join(after.withColumnRenamed("n", "j"), ["path", "j"]).select("path", "gap", F.lit(2).alias("kind"), F.col("j").alias("n"), F.concat(F.lit("+"), "line").alias("line"))
     order = Window.partitionBy("path").orderBy("gap", "kind", "n")
     running = order.rowsBetween(Window.unboundedPreceding, -1)
     count = lambda *kinds: F.coalesce(F.sum(F.col("kind").isin(*kinds).cast("long")).over(running), F.lit(0).cast("long"))
     near = F.max((F.col("kind") > 0).cast("int")).over(order.rowsBetween(-context, context))
-    told = kept.unionByName(gone).unionByName(come).select("path", "kind", "line", "gap", "n", F.row_number().over(order).cast("long").alias("at"), count(0, 1).alias("old"), count(0, 2).alias("new"), near.alias("near")).where("near = 1")
+    told = both.unionByName(come).select("path", "kind", "line", "gap", "n", F.row_number().over(order).cast("long").alias("at"), count(0, 1).alias("old"), count(0, 2).alias("new"), near.alias("near")).where("near = 1")
     by_place = Window.partitionBy("path").orderBy("at")
     opens = (F.col("at") != F.lag("at", 1, -1).over(by_place) + 1).cast("long")
     islands = told.withColumn("opens", opens).withColumn("hunk", F.sum("opens").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))

@@ -1,6 +1,8 @@
 """Line differences: applying the hunks gives the new text; anchors, repeated lines, edges, caps."""
 
+import os
 import random
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import functions as F
 
@@ -72,3 +74,17 @@ def test_the_longest_rising_run():
         got = line_diff.longest_rising(pd.DataFrame({"path": "p", "i": range(n), "j": j}))
         best = max(bin(m).count("1") for m in range(1 << n) if (s := [j[k] for k in range(n) if m >> k & 1]) == sorted(s))
         assert len(got) == best and list(got["j"]) == sorted(got["j"])
+
+
+def test_rounds_hold_no_texts_and_leave_no_old_tables(spark, monkeypatch):
+    written, real = [], line_diff.cut
+    monkeypatch.setattr(line_diff, "cut", lambda df: written.append(real(df)) or written[-1])
+    long = "a line that is far longer than a digest, " * 50
+    old = spark.createDataFrame([("f", "\n".join([long + str(k % 7) for k in range(40)])), ("g", "a\n\nb")], "path string, text string")
+    new = spark.createDataFrame([("f", "\n".join([long + str(k % 5) for k in range(40)])), ("g", "b\na\n")], "path string, text string")
+    found = line_diff.hunks(old, new)
+    assert {r.path: r.text for r in line_diff.applied(old, found).collect()} == {r.path: r.text for r in new.collect()}
+    there = [table for table in written if all(os.path.exists(unquote(urlparse(file).path)) for file in table.inputFiles())]
+    assert 2 <= len(there) < len(written)
+    sizes = [table.agg(F.max(F.octet_length("line"))).first()[0] or 0 for table in there if "line" in table.columns]
+    assert max(sizes) <= 32
