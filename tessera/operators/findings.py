@@ -9,13 +9,18 @@ from ..functions import text as t
 from . import claims as cl
 
 
-def mis_folds(components: DataFrame, claims: DataFrame, modules: DataFrame) -> DataFrame:
+def _matched(claims: DataFrame, modules: DataFrame, matched: DataFrame | None) -> DataFrame:
+    return cl.matches(claims, modules).select("id", "module").distinct() if matched is None else matched
+
+
+def mis_folds(components: DataFrame, claims: DataFrame, modules: DataFrame, matched: DataFrame | None = None) -> DataFrame:
     """(id, module): a module that shares no word with its component and no package with another module of it.
 
     Package sharing is an equality of packages, or one module being the
     other's package; both are found by counts and semi joins, not by pairs.
+    matched: distinct (id, module) of the claims, if they are known.
     """
-    held = cl.matches(claims, modules).select("id", "module").distinct().join(modules.select("module", F.coalesce(F.nullif("package", F.lit("")), F.col("module")).alias("package")), "module")
+    held = _matched(claims, modules, matched).join(modules.select("module", F.coalesce(F.nullif("package", F.lit("")), F.col("module")).alias("package")), "module")
     many = held.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
     held = held.join(many, "id", "left_semi")
     siblings = held.groupBy("id", "package").agg(F.count("*").alias("same"))
@@ -27,9 +32,9 @@ def mis_folds(components: DataFrame, claims: DataFrame, modules: DataFrame) -> D
     return odd.join(its_package, ["id", "package"], "left_anti").select("id", "module")
 
 
-def single_module(components: DataFrame, claims: DataFrame, modules: DataFrame) -> DataFrame:
+def single_module(components: DataFrame, claims: DataFrame, modules: DataFrame, matched: DataFrame | None = None) -> DataFrame:
     """(id, module) of components, actors aside, with exactly one module."""
-    held = cl.matches(claims, modules).select("id", "module").distinct().join(components.where("kind <> 'actor'").select("id"), "id", "left_semi")
+    held = _matched(claims, modules, matched).join(components.where("kind <> 'actor'").select("id"), "id", "left_semi")
     return held.groupBy("id").agg(F.count("*").alias("n"), F.min("module").alias("module")).where("n = 1").select("id", "module")
 
 

@@ -81,12 +81,12 @@ def path_modules(x: Tables) -> DataFrame:
 
 @query("select id, module from claimed", 62, 63, 64, 87, 88)
 def claim_matches(x: Tables) -> DataFrame:
-    return cl.matches(x.claims, x.modules).select("id", "module").distinct()
+    return x.matched
 
 
 @query("select module, owner from owner", 89)
 def module_owners(x: Tables) -> DataFrame:
-    return cl.owners(x.claims, x.modules)
+    return x.owners
 
 
 @query("select id, split_part(pattern, ':', 1) as module, split_part(pattern, ':', 2) as symbol from claims where contains(pattern, ':')", 65)
@@ -137,13 +137,12 @@ def sdk_imports(x: Tables) -> DataFrame:
 @query("select p, q, count(distinct module) as modules, count(*) as imports from open_crossing group by p, q", 98, 145, 257, 355)
 def crossing_imports(x: Tables) -> DataFrame:
     """Flagship: imports between components that no flow connects."""
-    own = cl.owners(x.claims, x.modules)
-    return edges.pair_counts(edges.without_flow(edges.crossing(x.uses, own), x.flows))
+    return edges.without_flow(x.pair_counts, x.flows)
 
 
 @query("select p, q, count(distinct module) as modules, count(*) as imports from crossing group by p, q", 93, 97, 99)
 def crossing_pairs(x: Tables) -> DataFrame:
-    return edges.pair_counts(edges.crossing(x.uses, cl.owners(x.claims, x.modules)))
+    return x.pair_counts
 
 
 @query("select distinct least(p, q) as a, greatest(p, q) as b from crossing", 101)
@@ -251,7 +250,7 @@ def surface_overlap(x: Tables) -> DataFrame:
 
 @query("select c.id, min(c.module) as module from claimed c join components k using (id) where kind <> 'actor' group by c.id having count(distinct c.module) = 1", 148)
 def single_module(x: Tables) -> DataFrame:
-    return findings.single_module(x.components, x.claims, x.modules)
+    return findings.single_module(x.components, x.claims, x.modules, x.matched)
 
 
 @query("""+ held as (select distinct id, module, package from claimed), many as (select id from held group by id having count(*) > 1),
@@ -259,7 +258,7 @@ w as (select h.id, h.module, h.package, list_transform(regexp_extract_all(h.modu
 share as (select distinct id, module from (select id, module, unnest(mine) as a, own from w) q, unnest(q.own) as o(b) where a = b or (length(a) >= 4 and starts_with(b, a)) or (length(b) >= 4 and starts_with(a, b)))
 select id, module from w where (id, module) not in (select id, module from share) and not exists (select 1 from held h where h.id = w.id and h.module <> w.module and (h.package = w.package or h.module = w.package or w.module = h.package))""", 224, 225, 352, 421)
 def mis_folds(x: Tables) -> DataFrame:
-    return findings.mis_folds(x.components, x.claims, x.modules)
+    return findings.mis_folds(x.components, x.claims, x.modules, x.matched)
 
 
 @query("select key from flows where trim(relation) = ''", 240, 353)
@@ -270,15 +269,14 @@ def flows_without_sentence(x: Tables) -> DataFrame:
 @query("""+ j as (select distinct least(p, q) as a, greatest(p, q) as b from crossing), act as (select id from components where kind = 'actor')
 select key, case when src in (select id from act) or dst in (select id from act) then 'external' when pos % 7 = 0 then 'observed' when exists (select 1 from j where a = least(src, dst) and b = greatest(src, dst)) or regexp_matches(lower(relation), '(^|[^a-z0-9_-])largebrand1($|[^a-z0-9_-])') then 'structural' else 'declared' end as state from flows""", 105, 227, 356, 367)
 def flow_states(x: Tables) -> DataFrame:
-    own = cl.owners(x.claims, x.modules)
-    joined = edges.unordered_pairs(edges.crossing(x.uses, own))
+    joined = edges.unordered_pairs(x.pair_counts)
     return findings.flow_states(x.flows, x.components, joined, joined.limit(0), x.flows.where("pos % 7 = 0"), ["LargeBrand1"])
 
 
 @query("""+ e as (select e.*, owner from entry_points e left join owner using (module)), big as (select kind, owner, count(*) as n from e where owner is not null group by all having count(*) > 4)
 select kind, owner, n, '' as name from big union all select e.kind, e.owner, 1, e.name from e left join big b on b.kind = e.kind and b.owner = e.owner where b.kind is null""", 150, 151, 354)
 def entry_groups(x: Tables) -> DataFrame:
-    return findings.entry_groups(x.entry_points, cl.owners(x.claims, x.modules))
+    return findings.entry_groups(x.entry_points, x.owners)
 
 
 @query("""select layer, count(distinct node) as endpoints from (select 'data' as layer union all select 'control' union all select 'none') l left join (select kind, src as node from flows union all select kind, dst from flows) f on f.kind = l.layer group by layer having count(distinct node) < 1000""", 67, 68, 69, 147)

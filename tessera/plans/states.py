@@ -47,7 +47,7 @@ _DIGEST = """+ src as (select c.id, string_agg(m.module || '@' || m.sha, ',' ord
 
 
 def _digests(x: Tables) -> DataFrame:
-    held = cl.matches(x.claims, x.modules).select("id", "module").distinct().join(x.modules.select("module", "sha"), "module")
+    held = x.matched.join(x.modules.select("module", "sha"), "module")
     refs = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("module", "sha"))), lambda r: F.concat_ws("@", r["module"], r["sha"])), ",")
     return held.groupBy("id").agg(refs.alias("refs")).select("id", t.canonical_digest(F.col("id"), F.col("refs")).alias("digest"))
 
@@ -283,5 +283,5 @@ def record_problems(x: Tables) -> DataFrame:
 
 @query("select c.id, c.kind, len(list(distinct m.module)) as modules, string_agg(distinct m.package, ',' order by m.package) as packages from components c join claimed m using (id) group by c.id, c.kind", 380, 381, 382, 383, 404)
 def component_documents(x: Tables) -> DataFrame:
-    held = cl.matches(x.claims, x.modules).select("id", "module").distinct().join(x.modules.select("module", "package"), "module")
+    held = x.matched.join(x.modules.select("module", "package"), "module")
     return x.components.select("id", "kind").join(held, "id").groupBy("id", "kind").agg(F.countDistinct("module").alias("modules"), F.array_join(F.array_sort(F.collect_set("package")), ",").alias("packages"))

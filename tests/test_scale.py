@@ -84,3 +84,9 @@ def test_labels_of_equal_rank_end(spark):
     """Two labels that want one place and have one rank: neither is before the other, so a rule by rank alone takes none and goes on for ever."""
     both = spark.createDataFrame([("g", i, 1, 1, 0, 0, 10, 8) for i in (1, 2)], "by string, id long, rank long, n long, x long, y long, w long, h long")
     assert rows(layout.place_labels(both, both.limit(0), 3, 50), "by", "id", "n") == [("g", 1, 1)]
+
+
+def test_all_lines_are_one_generator_at_a_time(spark):
+    """The lines of each generator are written before the next one is planned, so no plan holds all of them."""
+    found = plan(registry.queries()["all_finding_lines"](spark, SF))
+    assert "Aggregate" not in found and "Window" not in found and found.count("Join") == 1
