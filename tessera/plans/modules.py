@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..bindings import Tables
+from ..bindings import Tables, WrittenTables
 from ..operators import claims as cl
 from ..operators import code_between as between
 from ..operators import edges, line_diff, reexports, settings, ways_in, workspace
@@ -221,15 +221,17 @@ picks as (
 cut as (select *, row_number() over (partition by src, dst order by rank, line) as n from best)
 select src, dst, cast(row_number() over (partition by src, dst order by back, module, line) as int) as at, module, cast(line as int) as line, module || ':' || line || ': code ' || line as text from cut where n <= 60""", 124, 350)
 def code_between_cards(x: Tables) -> DataFrame:
-    owners = cl.owners(x.claims, x.modules).select("module", "owner")
-    pairs = edges.crossing(x.uses, owners).select(F.col("p").alias("src"), F.col("q").alias("dst")).distinct()
+    x = WrittenTables(x.spark, x.sf_dir)
+    owners = x.owners
+    across = cut(edges.crossing(x.uses, owners))  # read three times
+    pairs = across.select(F.col("p").alias("src"), F.col("q").alias("dst")).distinct()
     a, b = F.length("module"), F.length("target")
     use = F.struct((3 + b % 20).cast("int").alias("line"), (a % 4).cast("int").alias("function"), F.when(b % 2 == 0, "m").otherwise("").alias("member"))
-    sites = x.uses.select("module", "target", F.lit("x").alias("name"), F.when((a + b) % 3 == 0, "value").otherwise("import").alias("bound"), (1 + a % 7).cast("int").alias("line"), F.array(use).alias("uses"))
+    sites = across.select("module", "target", F.lit("x").alias("name"), F.when((a + b) % 3 == 0, "value").otherwise("import").alias("bound"), (1 + a % 7).cast("int").alias("line"), F.array(use).alias("uses"))
     n = F.col("n")
     lines = x.modules.select("module", F.explode(F.sequence(F.lit(1), F.lit(24))).alias("n")).withColumn("text", F.when(n % 5 == 0, "  ").otherwise(F.concat(F.lit("  code "), n.cast("string"))))
     known = x.modules.select("module", (F.col("k") % 701 != 0).alias("sites"), (F.col("k") % 803 != 0).alias("source"))
-    return between.code_between(pairs, owners, x.uses, sites, lines, known)[0]
+    return between.code_between(pairs, owners, across, sites, lines, known)[0]
 
 
 # --- settings ---------------------------------------------------------------------------

@@ -90,3 +90,17 @@ def test_random_sites_equal_a_walk_in_tiers(spark):
     made = tables(spark, sites, lines)
     for budget in (5, 17, 60):
         assert texts(cb.code_between(pairs(spark), *made, budget=budget)[0]) == plain(sites, lines, budget)
+
+
+def test_blank_lines_of_highest_priority_do_not_end_a_side(spark):
+    """Sixteen first lines are blank, four times the budget: the lines behind them are found all the same."""
+    sites = [("w", "l", "n", "import", i, [(20 + i, 0, None)]) for i in range(1, 17)]
+    lines = {"w": ["  "] * 16 + ["never"] * 4 + [f"code {n}" for n in range(21, 37)], "l": []}
+    code, _ = cb.code_between(pairs(spark), *tables(spark, sites, lines), budget=4)
+    assert texts(code) == [f"w:{n}: code {n}" for n in range(21, 25)]
+
+
+def test_texts_meet_the_first_lines_of_a_side_only(spark):
+    """The cut at the budget comes before the texts, which are as many as all lines of all files."""
+    plan = cb.code_between(pairs(spark), *tables(spark, SITES, LINES))[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.split("left_anti" if "left_anti" in plan else "LeftAnti")[0] and "uses#" not in plan
