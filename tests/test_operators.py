@@ -135,6 +135,42 @@ def test_moves_equal_the_greedy_assignment(spark, seed):
     assert {tuple(r) for r in found.select("old", "new", "how").collect()} == naive_moves(gone, new)
 
 
+def test_first_choices_equal_all_pairs():
+    """The bound by letters skips no pair: blocks of any size give the first choice among all pairs that no better one holds."""
+    dice = random.Random(5)
+    path = lambda: "/".join([dice.choice("xy"), dice.choice("pq"), "".join(dice.choice("abcd_") for _ in range(dice.randrange(6))) + ".py"])
+    for least in (0.0, 0.6):
+        olds, cands = [(f"o{i}", path()) for i in range(12)], [(f"n{i:02}", path()) for i in range(15)]
+
+        def place(f, g):
+            x, y = f.split("/"), g.split("/")
+            same = lambda p, q: next((i for i, (s, t) in enumerate(zip(p, q)) if s != t), min(len(p), len(q)))
+            return int(moves._place(same(x[::-1], y[::-1]), int(SequenceMatcher(None, x[-1], y[-1]).ratio() * 1000), same(x, y)))
+
+        held = [(place(dice.choice(olds)[1], g), dice.choice(["n", "o3", "p"])) if dice.random() < 0.4 else (None, None) for _, g in cands]
+        want = []
+        for o, f in olds:
+            asked = [(place(f, g), c) for (c, g), (h, holder) in zip(cands, held) if SequenceMatcher(None, f.split("/")[-1], g.split("/")[-1]).ratio() >= least and (h is None or (place(f, g), o) < (h, holder))]
+            want += [(o, c, p) for p, c in [min(asked)]] if asked else []
+        assert moves.first_choices(*map(list, zip(*olds)), *map(list, zip(*cands)), *map(list, zip(*held)), least) == want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_moves_of_one_key_in_many_blocks(spark, seed, monkeypatch):
+    """Modules of one content or one list of names that compete, in blocks of two: candidates change hands over several rounds."""
+    monkeypatch.setattr(moves, "BLOCK", 2)
+    dice = random.Random(seed)
+
+    def some(n, tag):
+        return [{"module": f"{tag}{i}", "sha": dice.choice(f"ab{tag}"), "names": dice.choice([[], ["A", "B"], ["A", "B"], ["C"]]), "file": f"{dice.choice('xy')}/{dice.choice('pq')}/{dice.choice(['', 'old_'])}hot_{dice.randrange(30)}.py"} for i in range(n)]
+
+    gone, new = some(14, "o"), some(11, "n")
+    schema = "module string, sha string, names array<string>, file string"
+    as_rows = lambda ms: [(m["module"], m["sha"], m["names"], m["file"]) for m in ms]
+    found = moves.find(frame(spark, schema, as_rows(gone)), frame(spark, schema, as_rows(new)))
+    assert {tuple(r) for r in found.select("old", "new", "how").collect()} == naive_moves(gone, new)
+
+
 def test_gap_sampling_keeps_the_head(spark):
     import datetime
 
