@@ -2,6 +2,7 @@
 
 import random
 from difflib import SequenceMatcher
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as t
 from tessera.operators import claims as cl
 from tessera.operators import diff, edges, graph, history, layout, metrics, moves, review
+from tessera.plans import analysis
 
 
 def frame(spark, schema, rows):
@@ -171,6 +173,30 @@ def test_moves_of_one_key_in_many_blocks(spark, seed, monkeypatch):
     assert {tuple(r) for r in found.select("old", "new", "how").collect()} == naive_moves(gone, new)
 
 
+def test_module_moves_asks_all_questions(spark):
+    """The query and its statement assign by content, by names and by most of the names, as the plain walk does."""
+    import duckdb
+
+    dice = random.Random(11)
+    words = ["route", "routing", "view", "views", "store"]
+
+    def some(n, tag):
+        return [{"module": f"{tag}{i}", "sha": dice.choice("abcdefgh"), "names": dice.sample(["A", "B", "C", "D", "E", "F"], dice.choice([0, 1, 5, 6])), "file": f"{dice.choice('xy')}/{dice.choice('pq')}/{dice.choice(words)}.py"} for i in range(n)]
+
+    gone, new = some(15, "o"), some(15, "n")
+    as_rows = lambda ms: [(m["module"], m["sha"], m["names"], m["file"]) for m in ms]
+    schema = "module string, sha string, names array<string>, file string"
+    want = naive_moves(gone, new)
+    assert {how for *_, how in want} == set(moves.HOW)
+    tables = SimpleNamespace(base_modules=frame(spark, schema, as_rows(gone)), modules=frame(spark, schema, as_rows(new)))
+    assert {tuple(r) for r in analysis.module_moves(tables).select("old", "new", "how").collect()} == want
+    con = duckdb.connect()
+    for name, rows in (("base_modules", gone), ("modules", new)):
+        con.sql(f"create table {name} (module varchar, sha varchar, names varchar[], file varchar)")
+        con.executemany(f"insert into {name} values (?, ?, ?, ?)", as_rows(rows))
+    assert set(con.sql("with " + analysis._MOVES.removeprefix("+ ")).fetchall()) == want
+
+
 def test_gap_sampling_keeps_the_head(spark):
     import datetime
 
