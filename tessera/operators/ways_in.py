@@ -100,16 +100,18 @@ def _kind():
 def _resolved(nodes: DataFrame) -> DataFrame:
     """Decorators with what they register; functions that are themselves groups of commands bind their names for the decorators after them, in rounds."""
     decorators, base = cut(_decorators(nodes)), cut(bindings(nodes))
-    groups, n = None, 0
+    told = lambda some, known, groups: _looked_up(some, known if groups is None else known.unionByName(groups)).withColumn("registers", _kind())
+    grouping = (F.col("registers") == "command") & F.col("call") & (F.col("name").endswith("group") | (F.col("direct") == "click.group"))
+    some, known, groups, n = decorators, base, None, 0
     while True:
-        bound = base if groups is None else base.unionByName(groups)
-        told = _looked_up(decorators, bound).withColumn("registers", _kind())
-        grouping = (F.col("registers") == "command") & F.col("call") & (F.col("name").endswith("group") | (F.col("direct") == "click.group"))
-        groups = cut(told.where(grouping).select("path", F.col("function").alias("name"), F.lit("command").alias("value"), F.col("function_id").alias("since")).distinct())
-        now = groups.count()
+        found = cut(told(some, known, groups).where(grouping).select("path", F.col("function").alias("name"), F.lit("command").alias("value"), F.col("function_id").alias("since")).distinct())
+        now = found.count()
         if now == n:
-            return told
-        n = now
+            return told(decorators, base, groups)
+        if groups is None:  # a file without groups has none in later rounds
+            paths = found.select("path").distinct()
+            some, known = cut(decorators.join(paths, "path", "left_semi")), cut(base.join(paths, "path", "left_semi"))
+        groups, n = found, now
 
 
 def decorated(resolved: DataFrame) -> DataFrame:
@@ -134,7 +136,9 @@ def candidates(resolved: DataFrame) -> DataFrame:
 def url_tables(nodes: DataFrame) -> DataFrame:
     """Routes in lists named urlpatterns: each call of a route function anywhere below the assignment."""
     tables = children(nodes.where("kind = 'Assign'").select("path", "id", "last"), nodes, "targets", "Name").where("c_text = 'urlpatterns'").select("path", "id", "last").distinct()
-    calls = inside(nodes, tables).where("kind = 'Call'").where(F.col("text").isin(*ROUTE_CALLS)).select("path", "module", "id")
+    calling = (F.col("kind") == "Call") & F.col("text").isin(*ROUTE_CALLS)
+    # Of the nodes only those that open a table or may be one of its calls are put in order.
+    calls = inside(nodes.where(calling | (F.col("kind") == "Assign")).select("path", "module", "id", "kind"), tables).where("kind = 'Call'").select("path", "module", "id")
     args = children(calls, nodes, "args").where("c_pos < 2").groupBy("path", "module", "id").agg(
         F.max(F.when((F.col("c_pos") == 0) & (F.col("c_kind") == "Constant"), F.col("c_text"))).alias("route"), F.max(F.when((F.col("c_pos") == 1) & F.col("c_kind").isin("Name", "Attribute"), F.col("c_text"))).alias("view")
     )

@@ -157,7 +157,9 @@ union all select module, 'candidate', 'q.get', 'ways in: ' || module || '.other'
 def ways_in_sources(x: Tables) -> DataFrame:
     k = F.col("k")
     text = F.coalesce(*[F.when(k % 6 == i, F.format_string(source, k)) for i, source in enumerate(_SOURCES)])
-    files = x.modules.select(F.col("file").alias("path"), F.encode(text, "UTF-8").alias("content"), F.lit(None).cast("string").alias("problem"))
+    # Their keys are few bytes, their parsing is not: all cores take part, however few files the table has.
+    keys = x.modules.select("k", "file").repartition(4 * x.spark.sparkContext.defaultParallelism, "k")
+    files = keys.select(F.col("file").alias("path"), F.encode(text, "UTF-8").alias("content"), F.lit(None).cast("string").alias("problem"))
     nodes = cut(syntax.nodes(files))
     ways, unsure = ways_in.in_source(nodes)
     below = ways_in.subcommands(nodes).select("module", F.lit("subcommand").alias("kind"), "name", F.lit("").alias("target"))

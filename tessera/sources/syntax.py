@@ -24,7 +24,7 @@ from ..functions.text import module_of
 NODES = "path string, module string, id int, last int, parent int, kind string, field string, pos int, text string, alias string, line int"
 TABLES = "path string, key array<string>, kind string, value string"
 #: Nodes in a batch.
-BATCH = 50_000
+BATCH = 20_000
 
 
 def dotted(node: ast.AST) -> str:
@@ -38,16 +38,20 @@ def dotted(node: ast.AST) -> str:
     return ".".join(reversed(parts))
 
 
+def _callee(node: ast.Call) -> str:
+    return dotted(node.func)
+
+
+#: What a node of a kind says; other kinds say their name or argument.
+_SAID = {
+    ast.Name: dotted, ast.Attribute: dotted, ast.Call: _callee, ast.Constant: lambda node: node.value if isinstance(node.value, str) else None,
+    ast.ImportFrom: lambda node: "." * node.level + (node.module or ""),
+}
+
+
 def _said(node: ast.AST) -> str | None:
-    if isinstance(node, ast.Name | ast.Attribute):
-        return dotted(node)
-    if isinstance(node, ast.Call):
-        return dotted(node.func)
-    if isinstance(node, ast.Constant):
-        return node.value if isinstance(node.value, str) else None
-    if isinstance(node, ast.ImportFrom):
-        return "." * node.level + (node.module or "")
-    return getattr(node, "name", None) or getattr(node, "arg", None)
+    said = _SAID.get(type(node))
+    return said(node) if said else getattr(node, "name", None) or getattr(node, "arg", None)
 
 
 def walk(tree: ast.AST) -> Iterator[tuple]:
@@ -60,31 +64,48 @@ def walk(tree: ast.AST) -> Iterator[tuple]:
             continue
         own = len(rows)
         rows.append([own, own, parent, type(node).__name__, field, pos, _said(node), getattr(node, "asname", None), getattr(node, "lineno", 0)])
-        open_.append((None, own, "", 0))
-        below = [(child, own, name, i) for name, value in ast.iter_fields(node) for i, child in enumerate(value if isinstance(value, list) else [value]) if isinstance(child, ast.AST) and not isinstance(child, ast.expr_context)]
-        open_ += reversed(below)
+        below = []
+        for name in node._fields:
+            value = getattr(node, name, None)
+            if value.__class__ is list:
+                below += [(child, own, name, i) for i, child in enumerate(value) if isinstance(child, ast.AST) and not isinstance(child, ast.expr_context)]
+            elif isinstance(value, ast.AST) and not isinstance(value, ast.expr_context):
+                below.append((value, own, name, 0))
+        if below:
+            open_.append((None, own, "", 0))
+            open_ += reversed(below)
     return map(tuple, rows)
 
 
-def nodes(files: DataFrame) -> DataFrame:
-    """The nodes of files (path, content, problem). A file that can't be read or parsed has none; its record says why."""
+def node_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes of batches of files (path, module, content): a batch of nodes is of many small files, or of a part of a large one."""
     names = [c.split()[0] for c in NODES.split(", ")]
     types = [pa.string(), pa.string(), *[pa.int32()] * 3, pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32()]
+    rows: list[tuple] = []
+
+    def packed() -> pa.RecordBatch:
+        columns = list(zip(*rows))
+        columns[8] = [None if t is None else t.encode("utf-8", "replace").decode() for t in columns[8]]  # a literal can hold half a surrogate pair
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+    for batch in batches:
+        for path, module, content in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+            try:
+                found = walk(ast.parse(content.decode("utf-8-sig"))) if content is not None else ()
+            except (SyntaxError, ValueError, RecursionError, MemoryError):
+                continue
+            for node in found:
+                rows.append((path, module, *node))
+                if len(rows) == BATCH:
+                    yield packed()
+                    rows.clear()
+    if rows:
+        yield packed()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, module, content in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-                try:
-                    found = list(walk(ast.parse(content.decode("utf-8-sig")))) if content is not None else []
-                except (SyntaxError, ValueError, RecursionError, MemoryError):
-                    continue
-                for at in range(0, len(found), BATCH):
-                    columns = list(zip(*found[at : at + BATCH]))
-                    columns[6] = [None if t is None else t.encode("utf-8", "replace").decode() for t in columns[6]]  # a literal can hold half a surrogate pair
-                    n = len(columns[0])
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([[path] * n, [module] * n, *columns], types)], names=names)
-
-    return files.select("path", module_of(F.col("path")).alias("module"), "content").mapInArrow(run, NODES)
+
+def nodes(files: DataFrame) -> DataFrame:
+    """The nodes of files (path, content, problem). A file that can't be read or parsed has none; its record says why."""
+    return files.select("path", module_of(F.col("path")).alias("module"), "content").mapInArrow(node_batches, NODES)
 
 
 def children(parents: DataFrame, nodes: DataFrame, field: str, *kinds: str) -> DataFrame:

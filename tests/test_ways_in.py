@@ -2,6 +2,7 @@
 
 import ast
 
+import pyarrow as pa
 import pytest
 
 from tessera.operators import ways_in
@@ -162,3 +163,14 @@ def test_no_files(spark):
     none = spark.createDataFrame([], "path string, content binary, problem string")
     ways, unsure = ways_in.in_source(cut(syntax.nodes(none)))
     assert ways.count() == unsure.count() == syntax.tables(none).count() == 0
+
+
+def test_nodes_of_many_files_share_a_batch(monkeypatch):
+    """A batch for each file costs more than its parsing; a large file is still cut."""
+    files = [(f"p/f{i}.py", f"p.f{i}", b"x = 1\n") for i in range(100)] + [("p/bad.py", "p.bad", b"x ="), ("p/none.py", "p.none", None)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*files)], names=["path", "module", "content"])
+    (found,) = syntax.node_batches(iter([batch]))
+    assert found.num_rows == 400 and set(found.column(0).to_pylist()) == {f[0] for f in files[:100]}
+    monkeypatch.setattr(syntax, "BATCH", 150)
+    cut_ = list(syntax.node_batches(iter([batch])))
+    assert [b.num_rows for b in cut_] == [150, 150, 100] and pa.Table.from_batches(cut_).to_pylist() == found.to_pylist()
